@@ -54,7 +54,7 @@ def _gain(rank: Column) -> Column:
 
 
 def retrieval_scores(ranking: DataFrame, cases: DataFrame, relevant: DataFrame, k: int = R.TOP_K,
-                     variants: DataFrame | None = None) -> DataFrame:
+                     variants: list[str] | None = None) -> DataFrame:
     """Recall, precision, reciprocal rank and nDCG per case.
 
     ``ranking(query_id, document_id, rank)``, ``cases(query_id, ...)``,
@@ -74,7 +74,9 @@ def retrieval_scores(ranking: DataFrame, cases: DataFrame, relevant: DataFrame,
             F.sum(F.when(within, _gain(F.col("rank")))).alias("_dcg"),
         )
     )
-    every = cases if variants is None else cases.join(F.broadcast(variants))
+    every = cases
+    if variants is not None:
+        every = cases.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
     scored = every.join(n_relevant, "query_id", "left").join(found, by, "left")
     n = F.coalesce(F.col("n_relevant"), F.lit(0))
     hits = F.coalesce(F.col("_hits"), F.lit(0))
