@@ -28,7 +28,8 @@ def _documents(spark: SparkSession, sf: str, sections: Column) -> DataFrame:
         .select(
             F.col("doc_id").cast("string").alias("id"),
             "title",
-            F.lit("article").alias("content_type"),
+            F.when(F.col("lang") == "en", "article").when(F.col("lang") == "fr", "review").otherwise("provider")
+            .alias("content_type"),
             F.col("source").alias("provider"),
             F.concat(F.lit("http://docs.example/"), F.col("doc_id").cast("string")).alias("url"),
             null().alias("published_at"),
@@ -74,7 +75,8 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 DOCS = """
 docs AS (
-  SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, 'doc ' || doc_id AS title, 'article' AS content_type,
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, 'doc ' || doc_id AS title,
+         CASE lang WHEN 'en' THEN 'article' WHEN 'fr' THEN 'review' ELSE 'provider' END AS content_type,
          source AS provider, 'http://docs.example/' || doc_id AS url, lang AS updated_at, text
   FROM documents
 )"""

@@ -137,10 +137,10 @@ windows AS (
   SELECT doc_id, [trim(text, E' \\n\\t')] FROM sized WHERE len(ws) BETWEEN 1 AND 700
 ),
 parted AS (SELECT doc_id, parts, unnest(range(0, len(parts))) AS chunk_no FROM windows)
-SELECT 'article_' || doc_id || '_doc_' || doc_id || '_' || {B.two_digits("(chunk_no + 1)")} AS id,
+SELECT content_type || '_' || doc_id || '_doc_' || doc_id || '_' || {B.two_digits("(chunk_no + 1)")} AS id,
        CAST(doc_id AS VARCHAR) AS document_id, chunk_no, 'doc ' || doc_id AS section, 'doc ' || doc_id AS path,
        md5(parts[chunk_no + 1]) AS text_md5, len({B.words_sql("parts[chunk_no + 1]")}) AS n_tokens, '-' AS parent_id
-FROM parted"""
+FROM parted JOIN docs USING (doc_id)"""
 
 CHILDREN = f"""
 children_at AS (
