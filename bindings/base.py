@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import chunking as C
+from gleaner.session import fill_cores
+
+
+# Tables whose rows are costly to process: worth all cores even from one file.
+HEAVY = {"documents", "pages", "embeddings"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return fill_cores(rows) if name in HEAVY else rows
 
 
 def null(kind: str = "string") -> Column:

@@ -1 +1,151 @@
-QUERIES, ORACLE = {}, {}
+"""Clustering over ``embeddings`` and summary trees over chunks of ``documents``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bindings import base as B
+from bindings.chunks import CHILDREN
+from bindings.search import shown
+from gleaner.operators import chunking as C
+from gleaner.operators import embedding as E
+from gleaner.operators import kmeans as KM
+from gleaner.operators import tree as TR
+
+DIMS = 64
+
+
+def kmeans_update(spark: SparkSession, sf: str) -> DataFrame:
+    """Centroids of the labels."""
+    vectors = B.table(spark, sf, "embeddings").withColumn("cluster", F.col("label"))
+    return KM.update(vectors).select("cluster", F.posexplode("center").alias("pos", "v")).select(
+        "cluster", "pos", B.rounded("v").alias("v")
+    )
+
+
+def kmeans_assign(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector to the most similar label centroid: one round of k-means."""
+    vectors = B.table(spark, sf, "embeddings")
+    centers = KM.update(vectors.withColumn("cluster", F.col("label"))).toPandas()
+    rows = KM.assign(vectors, centers)
+    return rows.select("vec_id", "cluster", B.rounded("similarity").alias("similarity"))
+
+
+def kmeans_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return KM.spherical_kmeans(B.table(spark, sf, "embeddings"), 10, "vec_id").select("vec_id", "cluster")
+
+
+def cluster_counts(spark: SparkSession, sf: str) -> DataFrame:
+    counted = B.table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    return counted.select("conv_id", "n", TR.cluster_count_column(F.col("n")).alias("k"))
+
+
+def leaves(spark: SparkSession, sf: str) -> DataFrame:
+    return TR.leaves_from_chunks(C.child_chunks(B.lined_documents(spark, sf)))
+
+
+def _assigned(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours four by four instead of clustering, so that SQL can follow."""
+    return leaves(spark, sf).withColumns(
+        {"block": F.lit(0).cast("bigint"), "cluster": F.floor(F.col("ord") / 4).cast("int")}
+    )
+
+
+def tree_level(spark: SparkSession, sf: str) -> DataFrame:
+    parents, _ = TR.build_level(_assigned(spark, sf), 1)
+    return parents.select(
+        "id", "level", "node_type", "document_id", "provider", "title", "section", "source_url", "ord",
+        F.md5("text").alias("text_md5"), F.array_join("heading_path", " > ").alias("path"),
+        F.array_join("children", "|").alias("children"),
+    )
+
+
+def tree_children(spark: SparkSession, sf: str) -> DataFrame:
+    _, children = TR.build_level(_assigned(spark, sf), 1)
+    return children.select("document_id", "ord", "id", "parent_id")
+
+
+def tree_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    parents, _ = TR.build_level(_assigned(spark, sf), 1, summarize=lambda prompt: prompt)
+    return parents.select("id", F.md5("text").alias("prompt_md5"))
+
+
+def tree_node_text(spark: SparkSession, sf: str) -> DataFrame:
+    parents, _ = TR.build_level(_assigned(spark, sf), 1)
+    return parents.select("id", F.md5(TR.node_embedding_text()).alias("text_md5"))
+
+
+def tree_collapse(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document: all leaves and every other parent as hits."""
+    parents, children = TR.build_level(_assigned(spark, sf), 1)
+    columns = [F.col("document_id").alias("query_id"), "id", "node_type", "children"]
+    hits = children.select(*columns).unionByName(parents.filter(F.col("ord") % 2 == 0).select(*columns))
+    return TR.collapse(hits).select("query_id", "id", "node_type")
+
+
+def tree(spark: SparkSession, sf: str) -> DataFrame:
+    embed = E.hashing_embedder(DIMS)
+    embedded = leaves(spark, sf).withColumn("embedding", embed(TR.node_embedding_text()))
+    return TR.build_tree(embedded, embed)
+
+
+def tree_build(spark: SparkSession, sf: str) -> DataFrame:
+    rows = TR.tree_report(tree(spark, sf))
+    return rows.select("document_id", "nodes", "leaves", "summaries")
+
+
+def tree_search(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(TR.tree_retriever(tree(spark, sf), E.hashing_embedder(DIMS))(B.questions(spark, sf)))
+
+
+QUERIES = {
+    "kmeans_update": kmeans_update,
+    "kmeans_assign": kmeans_assign,
+    "kmeans_corpus": kmeans_corpus,
+    "cluster_counts": cluster_counts,
+    "tree_level": tree_level,
+    "tree_children": tree_children,
+    "tree_prompt": tree_prompt,
+    "tree_node_text": tree_node_text,
+    "tree_collapse": tree_collapse,
+    "tree_build": tree_build,
+    "tree_search": tree_search,
+}
+
+CENTERS = """
+entries AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
+lengths AS (SELECT vec_id, sqrt(sum(x * x)) AS l FROM entries GROUP BY 1),
+units AS (SELECT vec_id, label, pos, x / l AS x FROM entries JOIN lengths USING (vec_id)),
+means AS (SELECT label, pos, avg(x) AS m FROM units GROUP BY ALL),
+centers AS (SELECT label AS cluster, pos, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS v FROM means)"""
+
+GROUPED = f"""
+WITH {B.DOCS}, {B.LINES}, {CHILDREN},
+groups AS (SELECT *, CAST(floor(chunk_no / 4) AS BIGINT) AS g FROM children),
+parented AS (SELECT *, 'raptor_' || document_id || '_l1_' || {B.two_digits("g")} AS parent FROM groups)"""
+SUMMARY = "string_agg(section || ': ' || trim(text, E' \\n\\t'), ' ' ORDER BY chunk_no)"
+
+ORACLE = {
+    "kmeans_update": f"WITH {CENTERS} SELECT cluster, pos, round(v, 6) AS v FROM centers",
+    "kmeans_assign": f"""WITH {CENTERS},
+sims AS (SELECT vec_id, cluster, sum(x * v) AS s FROM units JOIN centers USING (pos) GROUP BY ALL)
+SELECT vec_id, cluster, round(s, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, cluster) AS r FROM sims) WHERE r = 1""",
+    "cluster_counts": """SELECT conv_id, count(*) AS n, CASE WHEN count(*) <= 1 THEN count(*)
+  ELSE greatest(2, least(count(*), CAST(ceil(count(*) / 4.0) AS BIGINT))) END AS k FROM conversations GROUP BY 1""",
+    "tree_level": f"""{GROUPED}
+SELECT parent AS id, 1 AS level, 'summary' AS node_type, document_id, any_value(provider) AS provider, any_value(title) AS title, 'Summary' AS section,
+  any_value(url) AS source_url, any_value(g) AS ord, md5({SUMMARY}) AS text_md5, any_value(title) || ' > Summary' AS path, string_agg(id, '|' ORDER BY chunk_no) AS children
+FROM parented GROUP BY parent, document_id""",
+    "tree_children": f"{GROUPED} SELECT document_id, chunk_no AS ord, id, parent AS parent_id FROM parented",
+    "tree_prompt": f"""{GROUPED}
+SELECT parent AS id, md5('Title: ' || any_value(title) || chr(10) || 'Provider: ' || any_value(provider) || chr(10) || chr(10) ||
+  string_agg('[' || path || ']' || chr(10) || trim(text, E' \\n\\t'), chr(10) ORDER BY chunk_no)) AS prompt_md5 FROM parented GROUP BY parent""",
+    "tree_node_text": f"""{GROUPED}
+SELECT parent AS id, md5('Title: ' || any_value(title) || chr(10) || 'Provider: ' || any_value(provider) || chr(10) || 'Section: Summary' || chr(10) || chr(10) || {SUMMARY}) AS text_md5
+FROM parented GROUP BY parent""",
+    "tree_collapse": f"""{GROUPED}
+SELECT document_id AS query_id, id, 'leaf' AS node_type FROM parented WHERE g % 2 = 1
+UNION ALL SELECT DISTINCT document_id, parent, 'summary' FROM parented WHERE g % 2 = 0""",
+}

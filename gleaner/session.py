@@ -44,3 +44,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     recompute it nor depend on an executor staying alive."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fill_cores(df: DataFrame) -> DataFrame:
+    """Spread an input of fewer splits than cores, e.g. one small file.
+
+    Large inputs have more splits than that and are left where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
