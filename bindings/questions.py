@@ -11,8 +11,10 @@ from gleaner.functions import text as T
 from gleaner.operators import answers as A
 from gleaner.operators import catalog as K
 from gleaner.operators import evidence as EV
+from gleaner.operators import lexical as L
 from gleaner.operators import questions as Q
 from gleaner.plans import answering as P
+from gleaner.session import cut_lineage
 
 
 def joined(column: str) -> Column:
@@ -165,9 +167,11 @@ def sourced_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _corrected(spark: SparkSession, sf: str) -> P.Corrected:
-    catalog = K.catalog_from_chunks(B.fixed_chunks(spark, sf))
+    chunks = cut_lineage(B.fixed_chunks(spark, sf))
+    catalog = K.catalog_from_chunks(chunks)
     prepared = Q.preprocess(sourced_questions(spark, sf), catalog)
-    return P.retrieve_with_correction(prepared, sparse(spark, sf), catalog)
+    search = L.retriever(chunks, L.materialized(L.build_index(chunks)))
+    return P.retrieve_with_correction(prepared, search, catalog)
 
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:

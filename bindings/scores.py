@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from bindings import base as B
 from bindings.questions import PASSAGE, SENTENCE
-from bindings.search import DENSE, HASHED, LEX, dense, fused_sql, sparse
+from bindings.search import DENSE, HASHED, LEX, fused_sql, sparse, stored
 from gleaner.operators import answers as A
 from gleaner.operators import contains
 from gleaner.operators import evaluation as EV
-from gleaner.operators import fusion as FU
-from gleaner.operators import rerank as RR
 from gleaner.plans import comparison as CO
+from gleaner.plans.retrieval import strategy_hits
 
 
 def relevant(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,10 +66,8 @@ def eval_means(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
-    near, lexical = dense(spark, sf), sparse(spark, sf)
-    both = FU.hybrid_retriever(near, lexical)
-    searches = {"dense": near, "sparse": lexical, "hybrid": both, "rerank": RR.rerank_retriever(both)}
-    return CO.run_cases(cases(spark, sf), searches)
+    near, lexical = stored(spark, sf)
+    return CO.run_cases(cases(spark, sf), lambda asked, k: strategy_hits(asked, near, lexical, k))
 
 
 def eval_compare(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +77,8 @@ def eval_compare(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eval_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    search = {"sparse": sparse(spark, sf), "dense": dense(spark, sf)}
+    near, lexical = stored(spark, sf)
+    search = {"sparse": lexical, "dense": near}
     results = CO.run_cases(cases(spark, sf), search, generate=None)
     return shown(EV.category_report(results, "variant"), "variant", "category")
 

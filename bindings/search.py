@@ -16,6 +16,7 @@ from gleaner.operators import lexical as L
 from gleaner.operators import parents as P
 from gleaner.operators import ranking as R
 from gleaner.operators import rerank as RR
+from gleaner.session import cut_lineage
 
 
 def shown(hits: DataFrame) -> DataFrame:
@@ -50,7 +51,14 @@ def dense(spark: SparkSession, sf: str):
 
 
 def hybrid(spark: SparkSession, sf: str):
-    return FU.hybrid_retriever(dense(spark, sf), sparse(spark, sf))
+    return FU.hybrid_retriever(*stored(spark, sf))
+
+
+def stored(spark: SparkSession, sf: str):
+    """Dense and sparse retrievers over one stored collection of chunks."""
+    chunks = cut_lineage(B.fixed_chunks(spark, sf))
+    embed = E.hashing_embedder(DIMS)
+    return D.retriever(E.embed_chunks(chunks, embed), embed), L.retriever(chunks)
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,6 +15,7 @@ from gleaner.operators import answers as A
 from gleaner.operators import evaluation as EV
 from gleaner.operators import ranking as R
 from gleaner.operators.fusion import Retriever
+from gleaner.session import cut_lineage
 
 TIMINGS = ["end_to_end_ms", "retrieval_ms", "reranking_ms", "llm_ms"]
 
@@ -46,7 +47,7 @@ def _split(answered: DataFrame) -> DataFrame:
 
 def run_cases(
     cases: DataFrame,
-    searches: dict[str, Retriever],
+    searches: dict[str, Retriever] | Callable[[DataFrame, int], dict[str, DataFrame]],
     k: int = R.TOP_K,
     generate: A.Generator | None = A.first_sentence,
     timings: DataFrame | None = None,
@@ -55,21 +56,24 @@ def run_cases(
     """One row per variant and case with all scores.
 
     ``cases(id, question, expected_documents, expected_answer, category)``.
-    The raw question is searched. ``timings(variant, id, *_ms)`` are measured
+    The raw question is searched, by each retriever or by one function that
+    returns the hits of all variants. ``timings(variant, id, *_ms)`` are measured
     elsewhere: a batch job has no latency per question. A case whose generator
     failed keeps its error and neutral scores.
     """
     asked = cases.select(F.col("id").alias("query_id"), F.col("question").alias("query"))
-    hits = reduce(
-        DataFrame.unionByName,
-        [search(asked, k).withColumn("variant", F.lit(name)) for name, search in searches.items()],
-    )
+    if callable(searches):
+        lists = searches(asked, k)
+    else:
+        lists = {name: search(asked, k) for name, search in searches.items()}
+    named = [rows.withColumn("variant", F.lit(name)) for name, rows in lists.items()]
+    hits = cut_lineage(reduce(DataFrame.unionByName, named))
     ranking = EV.document_ranking(hits, ["variant", "query_id"])
     relevant = cases.select(
         F.col("id").alias("query_id"), F.explode("expected_documents").alias("document_id")
     )
     every = cases.withColumnRenamed("id", "query_id").drop("expected_documents")
-    scored = EV.retrieval_scores(ranking, every, relevant, k, list(searches))
+    scored = EV.retrieval_scores(ranking, every, relevant, k, list(lists))
     documents = F.array_sort(F.collect_list(F.struct("rank", "document_id")))
     listed = ranking.groupBy("variant", "query_id").agg(documents.alias("_ranked"))
     rows = scored.join(listed, ["variant", "query_id"], "left").withColumn(
