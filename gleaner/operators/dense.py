@@ -130,7 +130,7 @@ def nearest(
         spread_queries = queries.withColumns(
             {
                 "_block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"),
-                "_cell": F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).cast("long"),
+                "_cell": F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>")),
             }
         )
 
