@@ -155,6 +155,14 @@ def filter_merge_infer(spark: SparkSession, sf: str) -> DataFrame:
     return merged.withColumns(show).select("query_id", *show)
 
 
+def filter_infer_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    rows = Q.infer_from_catalog(part_questions(spark, sf), part_catalog(spark, sf))
+    return rows.select(
+        "query_id", F.coalesce("filter_provider", F.lit("-")).alias("filter_provider"),
+        F.coalesce("filter_content_type", F.lit("-")).alias("filter_content_type"),
+    )
+
+
 def sourced_questions(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark passages that name their source; every other one infers filters."""
     n = F.col("query_id")
@@ -224,6 +232,7 @@ QUERIES = {
     "rewrite": rewrite,
     "preprocess": preprocess,
     "filter_merge_infer": filter_merge_infer,
+    "filter_infer_catalog": filter_infer_catalog,
     "evidence": evidence,
     "corrective": corrective,
     "answers": answers,
@@ -422,6 +431,8 @@ SELECT query_id, kind, array_to_string(providers, '|') AS providers, array_to_st
   CASE WHEN len(providers) = 1 THEN providers[1] ELSE '-' END AS filter_provider,
   CASE WHEN kind = 'review' THEN 'review' WHEN len(providers) = 1 THEN 'provider' ELSE '-' END AS filter_content_type
 FROM parted""",
+    "filter_infer_catalog": f"""{HEAD}, {mention_sql('asked', 'query', 'm', 'found')}
+SELECT query_id, CASE WHEN len(found) = 1 THEN found[1] ELSE '-' END AS filter_provider, '-' AS filter_content_type FROM m""",
     "filter_merge_infer": """SELECT c_custkey AS query_id,
   coalesce(CASE WHEN c_nationkey % 3 = 0 THEN c_mktsegment END, CASE WHEN c_acctbal > 0 THEN c_name END, '-') AS filter_provider,
   coalesce(CASE WHEN c_nationkey % 5 = 0 THEN 'article' END, CASE WHEN c_nationkey % 2 = 0 THEN 'review' END,

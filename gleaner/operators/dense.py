@@ -108,9 +108,11 @@ def nearest(
     vectors = vectors.select(*dict.fromkeys([*order, *filters]), F.col(vector).alias("embedding"))
     schema = _result_schema(vectors, queries, order)
     columns = schema.fieldNames()
-    n_queries = queries.count()
+    # One run of the queries both checks their number and fetches the block.
+    block_rows = queries.limit(block + 1).toPandas()
+    n_queries = len(block_rows)
     if n_queries <= block:
-        shared = vectors.sparkSession.sparkContext.broadcast(queries.toPandas())
+        shared = vectors.sparkSession.sparkContext.broadcast(block_rows)
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = _block_top_k(batches, shared.value, "embedding", k, order, filters)
@@ -119,6 +121,7 @@ def nearest(
 
         candidates = vectors.mapInPandas(scan, schema)
     else:
+        n_queries = queries.count()
         blocks = math.ceil(n_queries / block)
         cells = max(1, math.ceil(vectors.count() / cell))
         spread_vectors = vectors.withColumns(

@@ -215,6 +215,12 @@ def merged_filters(queries: DataFrame, inferred: dict[str, Column], infer: Colum
     return queries.withColumns(merged)
 
 
+def infer_from_catalog(queries: DataFrame, catalog: Catalog) -> DataFrame:
+    """Filters for a search without extraction: the provider, if exactly one is named."""
+    named = match_providers(queries, catalog.aliases, to="_named")
+    return merged_filters(named, inferred_filters(F.col("_named"), None)).drop("_named")
+
+
 def preprocess(queries: DataFrame, catalog: Catalog, answers: DataFrame | None = None) -> DataFrame:
     """Kind, providers, topics, rewrite, sub-queries and filters of every question.
 
