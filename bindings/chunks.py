@@ -95,9 +95,8 @@ SHOWN = """id, document_id, chunk_no, section, path, md5(text) AS text_md5,
 
 SLUG = """coalesce(nullif(left(lower(trim(regexp_replace({0}, '[^a-zA-Z0-9]+', '_', 'g'), '_')), 40), ''), 'section')"""
 
-STRUCTURE = f"""
-WITH RECURSIVE {B.DOCS},
-sized AS (SELECT doc_id, text, {B.words_sql("text")} AS ws FROM docs),
+# Packing as a recursion over the units of every text in ``sized(doc_id, text, ws)``.
+PACKED = f"""
 units AS (
   SELECT doc_id, list_transform(
     list_filter(list_transform(
@@ -136,12 +135,28 @@ windows AS (
   UNION ALL
   SELECT doc_id, [trim(text, E' \\n\\t')] FROM sized WHERE len(ws) BETWEEN 1 AND 700
 ),
-parted AS (SELECT doc_id, parts, unnest(range(0, len(parts))) AS chunk_no FROM windows)
-SELECT content_type || '_' || doc_id || '_doc_' || doc_id || '_' || {B.two_digits("(chunk_no + 1)")} AS id,
-       CAST(doc_id AS VARCHAR) AS document_id, chunk_no, 'doc ' || doc_id AS section, 'doc ' || doc_id AS path,
-       md5(parts[chunk_no + 1]) AS text_md5, len({B.words_sql("parts[chunk_no + 1]")}) AS n_tokens, '-' AS parent_id
+parted AS (SELECT doc_id, parts, unnest(range(0, len(parts))) AS part_no FROM windows)"""
+
+STRUCTURE = f"""
+WITH RECURSIVE {B.DOCS},
+sized AS (SELECT doc_id, text, {B.words_sql("text")} AS ws FROM docs),
+{PACKED}
+SELECT content_type || '_' || doc_id || '_doc_' || doc_id || '_' || {B.two_digits("(part_no + 1)")} AS id,
+       CAST(doc_id AS VARCHAR) AS document_id, part_no AS chunk_no, 'doc ' || doc_id AS section, 'doc ' || doc_id AS path,
+       md5(parts[part_no + 1]) AS text_md5, len({B.words_sql("parts[part_no + 1]")}) AS n_tokens, '-' AS parent_id
 FROM parted JOIN docs USING (doc_id)"""
 
+STRUCTURE_LINES = f"""
+WITH RECURSIVE {B.DOCS}, {B.LINES},
+sized AS (SELECT doc_id * 1000000 + line_no AS doc_id, line AS text, {B.words_sql("line")} AS ws FROM lines),
+{PACKED}
+SELECT content_type || '_' || l.doc_id || '_part_' || line_no || '_' || {B.two_digits("(part_no + 1)")} AS id,
+       CAST(l.doc_id AS VARCHAR) AS document_id,
+       row_number() OVER (PARTITION BY l.doc_id ORDER BY line_no, part_no) - 1 AS chunk_no, heading AS section,
+       title || ' > ' || heading AS path, md5(parts[part_no + 1]) AS text_md5,
+       len({B.words_sql("parts[part_no + 1]")}) AS n_tokens, '-' AS parent_id
+FROM parted p JOIN lines l ON p.doc_id = l.doc_id * 1000000 + l.line_no"""
+
 CHILDREN = f"""
 children_at AS (
   SELECT *, unnest(range(0, CAST(1 + ceil(greatest(len(ws) - 150, 0) / 110.0) AS BIGINT))) AS w
@@ -193,6 +208,7 @@ ORACLE = {
     "chunk_fixed": f"WITH {B.DOCS}, {B.FIXED} SELECT id, document_id, chunk_no, section, section AS path, "
     f"md5(text) AS text_md5, len({B.words_sql('text')}) AS n_tokens, '-' AS parent_id FROM fixed",
     "chunk_structure_aware": STRUCTURE,
+    "chunk_structure_aware_lines": STRUCTURE_LINES,
     "chunk_parent_child": f"WITH {B.DOCS}, {B.LINES}, {CHILDREN} SELECT {SHOWN} FROM children",
     "chunk_parents": f"WITH {B.DOCS}, {B.LINES}, {PARENTS} SELECT {SHOWN} FROM parents",
     "chunk_variants": f"""WITH {B.DOCS}, {B.LINES}, {CHILDREN}, {B.FIXED}
