@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontam, licenses, packing, pii, sharding
+from gleaner.llm import decontam, licenses, packing, pii, sharding, simhash
 from gleaner.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,5 +32,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_pii, op4_licenses, op7_decontamination, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_pii, op4_licenses, op6_simhash, op7_decontamination, op8_sharding)}
 ORACLE: dict[str, str] = {}
