@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontam, licenses, packing, pii, sharding, simhash
+from gleaner.llm import ann, decontam, licenses, packing, pii, sharding, simhash
 from gleaner.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,5 +37,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_pii, op4_licenses, op6_simhash, op7_decontamination, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_pii, op4_licenses, op5_ann, op6_simhash, op7_decontamination, op8_sharding)}
 ORACLE: dict[str, str] = {}
