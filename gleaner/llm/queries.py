@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import ann, decontam, licenses, packing, pii, sharding, simhash
+from gleaner.llm import ann, decontam, langid, licenses, packing, pii, sharding, simhash
 from gleaner.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_pii, op4_licenses, op5_ann, op6_simhash, op7_decontamination, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language, op3_pii, op4_licenses, op5_ann, op6_simhash, op7_decontamination, op8_sharding)}
 ORACLE: dict[str, str] = {}
