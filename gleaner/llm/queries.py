@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import ann, decontam, langid, licenses, packing, pii, sharding, simhash, warc
+from gleaner.llm import ann, decontam, langid, licenses, packing, pii, sharding, simhash, suffix_dedup, warc
 from gleaner.llm.common import table
 
 
@@ -45,5 +45,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language, op3_pii, op4_licenses, op5_ann, op6_simhash, op7_decontamination, op8_sharding, op9_warc)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language, op3_pii, op4_licenses, op5_ann, op6_simhash, op7_decontamination, op8_sharding, op9_warc, op10_suffix_dedup)}
 ORACLE: dict[str, str] = {}
