@@ -1,32 +1,42 @@
 """SimHash near-duplicates by pigeonring filtering.
 
-A fingerprint has 64 bits; two link at ``LIMIT`` or fewer differing bits. It is
-cut into a ring of ``SEGMENTS`` segments. If two fingerprints link, then from some
-segment on every chain of l segments holds at most l * LIMIT / SEGMENTS
-differences: none in the first segment, at most one in the first two, and so
-on. So each distinct fingerprint is filed, for every start, under its first two
-segments, and asks there and under the second segment's neighbours at one bit.
-Where they meet, the longer chains are checked before the full distance is.
+A fingerprint has 64 bits; two link at ``limit`` or fewer differing bits. It is
+cut into a ring of ``segments``. If two fingerprints link, then from some segment
+on every chain of l segments holds at most l * limit / segments differences. So
+each distinct fingerprint is filed, for every start, under its first ``depth``
+segments, and asks there under all that the chains allow these to be. Where
+they meet, the next chains are checked before the full distance is.
+
+``CONTRACT`` links at 4 bits: 5 segments, filed under two, of which the first
+must be equal and the second differs in at most one bit. ``COPIES`` links at 12
+bits (a similarity of 0.8 and more), filed under the first of 7 segments; as
+unrelated fingerprints come that close too, a second fingerprint from other
+bits of hashes has to confirm: at most 25 of both together differ.
 
 Only distinct fingerprints are compared, so copies cost nothing. Where many meet
-under one key, each reaches its links by a search that visits it once; links
-come out as trees, never as all pairs of a group. Components are joined from
-these by rounds of minima over stored tables.
+under one key and most of them link, each reaches its links by a search that
+visits it once; links come out as trees, never as all pairs of a group.
+Components are joined from these by rounds of minima over stored tables.
+
+The comparisons under a key grow with the square of the distinct fingerprints
+over the number of keys: 2^26 for ``CONTRACT``, 2^9 for ``COPIES``.
 
 Null and empty texts, and texts without a word, have the fingerprint zero, linked
 like any other. Rows with equal or null ids count as rows; a component of rows
 that all have null ids has a null id. An empty table gives an empty result;
-further columns are ignored.
+further columns are ignored, or kept by ``one_of_each``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -34,17 +44,58 @@ from gleaner.llm.common import stored
 
 SHINGLE = 4
 SEED = 42
-LIMIT = 4
-SEGMENTS = 5
 BITS = 64
-# Where the segments begin; the first ones are a bit wider.
-STARTS = [round(i * BITS / SEGMENTS) for i in range(SEGMENTS + 1)]
 ENTRIES_PER_BUCKET = 400_000
 TEXTS = 512
+FILED_AT_ONCE = 4_096
 PAIRS_AT_ONCE = 2_000_000
+SMALL_GROUP = 16_384
+DENSE = 64  # links per filed fingerprint from which a group is searched
+
+
+@dataclass(frozen=True)
+class Scheme:
+    limit: int
+    segments: int
+    depth: int
+    confirm: int | None = None  # most differing bits of both fingerprints
+
+    def begin(self, i: int) -> int:
+        return round(i % self.segments * BITS / self.segments)
+
+    def width(self, i: int) -> int:
+        i %= self.segments
+        return round((i + 1) * BITS / self.segments) - self.begin(i)
+
+    def budget(self, length: int) -> int:
+        """Most differences in a chain of that many segments."""
+        return length * self.limit // self.segments
+
+    def masks(self, start: int) -> np.ndarray:
+        """What the first ``depth`` segments may differ in, as keys."""
+
+        def extend(j: int, used: int) -> Iterator[int]:
+            if j == self.depth:
+                yield 0
+                return
+            slot = 16 * (self.depth - 1 - j)
+            for n in range(min(self.width(start + j), self.budget(j + 1) - used) + 1):
+                for bits in combinations(range(self.width(start + j)), n):
+                    for rest in extend(j + 1, used + n):
+                        yield sum(1 << (slot + b) for b in bits) | rest
+
+        return np.array(sorted(extend(0, 0)), dtype=np.uint64)
+
+    def entries(self) -> int:
+        """Rows filed and asked for one fingerprint."""
+        return sum(len(self.masks(s)) for s in range(self.segments))
 
 
-def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+CONTRACT = Scheme(limit=4, segments=5, depth=2)
+COPIES = Scheme(limit=12, segments=7, depth=1, confirm=25)
+
+
+def hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """The hashes of all shingles of a text, repeats included."""
     from xxhash import xxh64_intdigest
 
@@ -56,7 +107,7 @@ def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     begin = np.cumsum(size + 1) - size - 1
     n = max(1, len(words) - shingle + 1)
     end = (begin + size)[-n:]
-    digest = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begin[:n].tolist(), end.tolist(), strict=True)]
+    digest = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(begin[:n].tolist(), end.tolist(), strict=True)]
     return np.array(digest, dtype=np.uint64)
 
 
@@ -71,97 +122,138 @@ def fingerprint(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``key`` and ``fp``, the fingerprint as a signed 64-bit number."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = StructType([rows.schema["key"]]).add("fp", "long")
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, into: str = "fp",
+                 confirm: str | None = None) -> DataFrame:
+    """``docs`` with ``into``, the fingerprint as a signed 64-bit number, and, if
+    named, a second one from the hashes mixed once more."""
+    names = [into, *([confirm] if confirm else [])]
+    schema = StructType(list(docs.schema))
+    for name in names:
+        schema = schema.add(name, "long")
+
+    def both(text: str | None) -> list[int]:
+        h = hashes(text, shingle)
+        found = [fingerprint(h)]
+        if confirm:
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            found.append(fingerprint(h ^ (h >> np.uint64(29))))
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            at_text = whole.schema.get_field_index(text)
             for at in range(0, whole.num_rows, TEXTS):
                 part = whole.slice(at, TEXTS)
-                fps = [fingerprint(hashes(t, shingle)) for t in part.column(1).to_pylist()]
-                signed = np.array(fps, dtype=np.uint64).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed)], ["key", "fp"])
-
-    return rows.mapInArrow(run, schema)
+                fps = np.array([both(t) for t in part.column(at_text).to_pylist()], dtype=np.uint64).view(np.int64)
+                columns = [pa.array(np.ascontiguousarray(fps[:, i])) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *names])
 
+    return docs.mapInArrow(run, schema)
 
-def _segment(fp: np.ndarray, i: int) -> np.ndarray:
-    i %= SEGMENTS
-    return (fp >> np.uint64(STARTS[i])) & np.uint64((1 << (STARTS[i + 1] - STARTS[i])) - 1)
 
+def _segment(scheme: Scheme, fp: np.ndarray, i: int) -> np.ndarray:
+    return (fp >> np.uint64(scheme.begin(i))) & np.uint64((1 << scheme.width(i)) - 1)
 
-def _width(i: int) -> int:
-    i %= SEGMENTS
-    return STARTS[i + 1] - STARTS[i]
 
+def chain_keys(scheme: Scheme, fp: np.ndarray, start: int) -> np.ndarray:
+    """The first ``depth`` segments from ``start`` as one number, with the start."""
+    key = np.full(len(fp), start, dtype=np.uint64) << np.uint64(40)
+    for j in range(scheme.depth):
+        key |= _segment(scheme, fp, start + j) << np.uint64(16 * (scheme.depth - 1 - j))
+    return key
 
-def chain_keys(fp: np.ndarray, start: int) -> np.ndarray:
-    """The first two segments from ``start`` as one number, with the start."""
-    two = (_segment(fp, start) << np.uint64(16)) | _segment(fp, start + 1)
-    return two | np.uint64(start << 40)
 
-
-def probes(fp: np.ndarray, start: int) -> np.ndarray:
-    """The keys at one bit of the second segment: a row for each bit."""
-    flips = np.uint64(1) << np.arange(_width(start + 1), dtype=np.uint64)
-    return chain_keys(fp, start)[None, :] ^ flips[:, None]
-
-
-def linked(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Whether two fingerprints link: the chains from ``start`` first, the full
-    distance for those that pass."""
+def linked(scheme: Scheme, a: np.ndarray, b: np.ndarray, a2: np.ndarray, b2: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether fingerprints link: the chains from ``start`` first, the full distance
+    for those that pass, then the second fingerprints."""
     diff = a ^ b
-    within = np.ones(len(diff), dtype=bool)
-    for first in range(SEGMENTS):
-        own = np.flatnonzero((start == first) & within)
+    within = np.zeros(len(diff), dtype=bool)
+    for first in np.unique(start):
+        own = np.flatnonzero(start == first)
         sums = np.zeros(len(own), dtype=np.int64)
-        for length in range(1, SEGMENTS):
-            sums += np.bitwise_count(_segment(diff[own], first + length - 1))
-            keep = sums * SEGMENTS <= length * LIMIT
-            within[own[~keep]] = False
+        for length in range(1, scheme.segments):
+            sums += np.bitwise_count(_segment(scheme, diff[own], int(first) + length - 1))
+            keep = sums <= scheme.budget(length)
             own, sums = own[keep], sums[keep]
+        within[own] = True
     at = np.flatnonzero(within)
-    within[at] = np.bitwise_count(diff[at]) <= LIMIT
+    within[at] = _close(scheme, diff[at], a2[at] ^ b2[at])
     return within
 
 
-def _search(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _close(scheme: Scheme, diff: np.ndarray, diff2: np.ndarray) -> np.ndarray:
+    count = np.bitwise_count(diff)
+    if scheme.confirm is None:
+        return count <= scheme.limit
+    return (count <= scheme.limit) & (count.astype(np.int64) + np.bitwise_count(diff2) <= scheme.confirm)
+
+
+def _search(scheme: Scheme, fps: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of a group as trees: each fingerprint is visited once, and compared
-    with those not visited yet."""
-    left = fps
+    with those not visited yet. Places in ``fps``."""
+    left = np.arange(len(fps))
     parents, children = [], []
     while len(left):
         frontier, left = left[:1], left[1:]
         while len(frontier) and len(left):
             step = max(1, PAIRS_AT_ONCE // len(left))
             block, frontier = frontier[:step], frontier[step:]
-            near = np.bitwise_count(block[:, None] ^ left[None, :]) <= LIMIT
+            near = _close(scheme, fps[block][:, None] ^ fps[left][None, :], second[block][:, None] ^ second[left][None, :])
             hit = near.any(axis=0)
             parents.append(block[near[:, hit].argmax(axis=0)])
             children.append(left[hit])
             frontier = np.concatenate([frontier, left[hit]])
             left = left[~hit]
-    none = np.empty(0, dtype=np.uint64)
+    none = np.empty(0, dtype=np.int64)
     return np.concatenate([none, *parents]), np.concatenate([none, *children])
 
 
-def _meet(fps: np.ndarray, keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _large_group(scheme: Scheme, start: int, at: np.ndarray, own: np.ndarray, fps: np.ndarray,
+                 second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one large group, row block by row block: the chain one segment
+    longer than the key for all pairs, the rest for those that pass."""
+    filed = at[own[at]]
+    chain = np.uint64(0)
+    for j in range(scheme.depth + 1):
+        chain |= np.uint64((1 << scheme.width(start + j)) - 1) << np.uint64(scheme.begin(start + j))
+    budget = scheme.budget(scheme.depth + 1)
+    all_ = fps[at] & chain
+    lefts, rights, hits = [], [], 0
+    step = max(1, PAIRS_AT_ONCE // len(at))
+    for row in range(0, len(filed), step):
+        block = filed[row : row + step]
+        r, c = np.nonzero(np.bitwise_count((fps[block] & chain)[:, None] ^ all_[None, :]) <= budget)
+        a, b = block[r], at[c]
+        differ = fps[a] != fps[b]
+        a, b = a[differ], b[differ]
+        hit = linked(scheme, fps[a], fps[b], second[a], second[b], np.full(len(a), start))
+        lefts.append(a[hit]), rights.append(b[hit])
+        hits += int(hit.sum())
+        if hits > DENSE * (row + len(block)):
+            _, one = np.unique(fps[at], return_index=True)
+            nodes = at[one]
+            a, b = _search(scheme, fps[nodes], second[nodes])
+            return nodes[a], nodes[b]
+    return np.concatenate(lefts), np.concatenate(rights)
+
+
+def meet(scheme: Scheme, fps: np.ndarray, second: np.ndarray, keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links within one bucket of filed and asking fingerprints."""
     order = np.argsort(keys, kind="stable")
-    fps, keys, own = fps[order], keys[order], own[order]
+    fps, second, keys, own = fps[order], second[order], keys[order], own[order]
     begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     end = np.append(begin[1:], len(keys))
     n_own = np.add.reduceat(own.astype(np.int64), begin)
     several = np.flatnonzero((n_own > 0) & (end - begin > 1))
     pairs = n_own * (end - begin)
-    lefts, rights = [], []
-    for g in several[pairs[several] > 4096]:
-        a, b = _search(np.unique(fps[begin[g] : end[g]]))
-        lefts.append(a), rights.append(b)
+    none = np.empty(0, dtype=np.uint64)
+    lefts, rights = [none], [none]
+    for g in several[pairs[several] > SMALL_GROUP]:
+        start = int(keys[begin[g]] >> np.uint64(40))
+        a, b = _large_group(scheme, start, np.arange(begin[g], end[g]), own, fps, second)
+        lefts.append(fps[a]), rights.append(fps[b])
     # Small groups: every filed one with every other, many groups at a time.
-    small = several[pairs[several] <= 4096]
+    small = several[pairs[several] <= SMALL_GROUP]
     while len(small):
         cut = max(1, int(np.searchsorted(np.cumsum(pairs[small]), PAIRS_AT_ONCE)))
         part, small = small[:cut], small[cut:]
@@ -172,53 +264,61 @@ def _meet(fps: np.ndarray, keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarra
         width = end[of] - begin[of]
         left = np.repeat(filed, width)
         right = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(begin[of], width)
-        a, b = fps[left], fps[right]
-        differ = a != b
-        a, b, start = a[differ], b[differ], (keys[left][differ] >> np.uint64(40)).astype(np.int64)
-        hit = linked(a, b, start)
-        lefts.append(a[hit]), rights.append(b[hit])
-    none = np.empty(0, dtype=np.uint64)
-    return np.concatenate([none, *lefts]), np.concatenate([none, *rights])
-
-
-def links(distinct: DataFrame, buckets: int) -> DataFrame:
-    """``a, b``: links between the distinct fingerprints ``fp`` that join all that
-    link, ``a < b`` as signed numbers."""
+        differ = fps[left] != fps[right]
+        left, right = left[differ], right[differ]
+        start = (keys[left] >> np.uint64(40)).astype(np.int64)
+        hit = linked(scheme, fps[left], fps[right], second[left], second[right], start)
+        lefts.append(fps[left[hit]]), rights.append(fps[right[hit]])
+    return np.concatenate(lefts), np.concatenate(rights)
+
+
+def links(distinct: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
+    """``a, b``: links between the distinct fingerprints ``fp`` (confirmed by ``fp2``)
+    that join all that link, ``a < b`` as signed numbers."""
+    confirmed = scheme.confirm is not None
+
+    def packed(fp: np.ndarray, fp2: np.ndarray) -> pa.RecordBatch:
+        keys, rows, own = [], [], []
+        for start in range(scheme.segments):
+            masks = scheme.masks(start)
+            keys.append((chain_keys(scheme, fp, start)[None, :] ^ masks[:, None]).ravel())
+            rows.append(np.tile(np.arange(len(fp)), len(masks)))
+            own.append(np.repeat(masks == 0, len(fp)))
+        key, row, own = np.concatenate(keys), np.concatenate(rows), np.concatenate(own)
+        spread = key * np.uint64(0x9E3779B97F4A7C15)
+        bucket = ((spread >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        key, row, own, bucket = key[order], row[order], own[order], bucket[order]
+        at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() if len(bucket) else []
+        ends = [*at[1:], len(bucket)] if at else []
+        cuts = [slice(a, b) for a, b in zip(at, ends, strict=True)]
+        out = {
+            "bucket": pa.array(bucket[at], pa.int64()),
+            "fps": pa.array([fp[row[c]].tobytes() for c in cuts], pa.binary()),
+            "second": pa.array([fp2[row[c]].tobytes() if confirmed else b"" for c in cuts], pa.binary()),
+            "keys": pa.array([key[c].tobytes() for c in cuts], pa.binary()),
+            "own": pa.array([own[c].tobytes() for c in cuts], pa.binary()),
+        }
+        return pa.RecordBatch.from_pydict(out)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-            keys, fps, own = [], [], []
-            for start in range(SEGMENTS):
-                asked = probes(fp, start)
-                keys += [chain_keys(fp, start), asked.ravel()]
-                fps += [fp, np.tile(fp, len(asked))]
-                own += [np.ones(len(fp), dtype=bool), np.zeros(asked.size, dtype=bool)]
-            key, fps, own = np.concatenate(keys), np.concatenate(fps), np.concatenate(own)
-            spread = key * np.uint64(0x9E3779B97F4A7C15)
-            bucket = ((spread >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            key, fps, own, bucket = key[order], fps[order], own[order], bucket[order]
-            at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-            rows = zip(at, [*at[1:], len(bucket)], strict=True) if len(bucket) else ()
-            packed = [(bucket[a], fps[a:b].tobytes(), key[a:b].tobytes(), own[a:b].tobytes()) for a, b in rows]
-            columns = [*zip(*packed, strict=True)] or [(), (), (), ()]
-            types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "fps", "keys", "own"]
-            )
-
-    def meet(table: pa.Table) -> pa.Table:
+            fp, fp2 = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)
+            for at in range(0, len(fp), FILED_AT_ONCE):
+                yield packed(fp[at : at + FILED_AT_ONCE], fp2[at : at + FILED_AT_ONCE])
+
+    def gather(table: pa.Table) -> pa.Table:
         def joined(name: str, kind) -> np.ndarray:
             return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
 
-        a, b = _meet(joined("fps", np.uint64), joined("keys", np.uint64), joined("own", bool))
-        both = np.unique(np.sort(np.stack([a.astype(np.int64), b.astype(np.int64)], axis=1), axis=1), axis=0)
+        fps = joined("fps", np.uint64)
+        second = joined("second", np.uint64) if confirmed else fps
+        a, b = meet(scheme, fps, second, joined("keys", np.uint64), joined("own", bool))
+        both = np.unique(np.sort(np.stack([a.view(np.int64), b.view(np.int64)], axis=1), axis=1), axis=0)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
-    filed = distinct.select("fp").mapInArrow(file, "bucket long, fps binary, keys binary, own binary")
-    found = filed.groupBy("bucket").applyInArrow(meet, "a long, b long")
-    return found.distinct()
+    filed = distinct.select("fp", "fp2").mapInArrow(file, "bucket long, fps binary, second binary, keys binary, own binary")
+    return filed.groupBy("bucket").applyInArrow(gather, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -252,19 +352,37 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``key, fingerprint, component_id`` of every document."""
-    prints = stored(fingerprints(docs, key, text, shingle), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("key").alias("least")), "fingerprints")
-    n = distinct.count()
-    entries = n * (SEGMENTS + sum(_width(i) for i in range(SEGMENTS)))
-    buckets = max(1, math.ceil(entries / ENTRIES_PER_BUCKET))
-    roots = components(links(distinct, buckets)).withColumnRenamed("node", "fp")
+def grouped(prints: DataFrame, least: Column, scheme: Scheme) -> DataFrame:
+    """``fp, least`` for every fingerprint of ``prints(fp, fp2, ...)``: the smallest
+    value of ``least`` in its component."""
+    distinct = stored(prints.groupBy("fp").agg(F.min("fp2").alias("fp2"), F.min(least).alias("own")), "fingerprints")
+    buckets = max(1, math.ceil(distinct.count() * scheme.entries() / ENTRIES_PER_BUCKET))
+    roots = components(links(distinct, scheme, buckets)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select(
+    of_root = rooted.groupBy("root").agg(F.min("own").alias("least"))
+    return rooted.join(of_root, "root").select("fp", "least")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                    scheme: Scheme = CONTRACT) -> DataFrame:
+    """``key, fingerprint, component_id`` of every document."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    prints = fingerprints(rows, "text", shingle, "fp", "fp2" if scheme.confirm else None).drop("text")
+    prints = stored(prints if scheme.confirm else prints.withColumn("fp2", F.col("fp")), "fingerprints")
+    return prints.join(grouped(prints, F.col("key"), scheme), "fp").select(
         F.col("key").alias(key),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
+        F.col("least").alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                scheme: Scheme = COPIES) -> DataFrame:
+    """``docs`` without the near-duplicates: of every component the row with the
+    smallest key stays, null keys last; of equal keys one row."""
+    base = docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns})
+    base = base.withColumn("row", F.monotonically_increasing_id())
+    base = stored(fingerprints(base, f"d_{text}", shingle, "fp", "fp2"), "fingerprinted")
+    least = F.struct(F.col(f"d_{key}").isNull().alias("none"), F.col(f"d_{key}").alias("key"), F.col("row").alias("row"))
+    kept = grouped(base, least, scheme).select(F.col("least.row").alias("row")).distinct()
+    return base.join(kept, "row", "left_semi").select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])
