@@ -63,6 +63,15 @@ def own_column(df: DataFrame, name: str) -> str:
     return name
 
 
+def prefixed(df: DataFrame) -> DataFrame:
+    """All columns as ``d_...``, so that an operator's own names are free."""
+    return df.select(*[F.col(f"`{c}`").alias(f"d_{c}") for c in df.columns])
+
+
+def restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"`d_{c}`").alias(c) for c in columns])
+
+
 def worker_cache(key: str) -> dict:
     """A dictionary that lives as long as the Python worker."""
     module = sys.modules.setdefault("gleaner_worker_cache", types.ModuleType("gleaner_worker_cache"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from gleaner.llm.common import WORD_BYTES, own_column
+from gleaner.llm.common import WORD_BYTES, own_column, prefixed, restored
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -210,9 +210,8 @@ def covered(matches: Column) -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without those in which a window of the benchmark occurs."""
-    base = docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns})
-    kept = find(base, benchmark, f"d_{text}").filter(F.size("matches") == 0)
-    return kept.select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])
+    kept = find(prefixed(docs), benchmark, f"d_{text}").filter(F.size("matches") == 0)
+    return restored(kept, docs.columns)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gleaner.llm.common import stored
+from gleaner.llm.common import prefixed, restored, stored
 
 SHINGLE = 4
 SEED = 42
@@ -272,6 +272,30 @@ def meet(scheme: Scheme, fps: np.ndarray, second: np.ndarray, keys: np.ndarray,
     return np.concatenate(lefts), np.concatenate(rights)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few of the links as join the same values."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    kept = [np.empty(0, dtype=np.int64)]
+    open_ = np.arange(len(a))
+    while True:
+        x, y = label[left[open_]], label[right[open_]]
+        open_, x, y = open_[x != y], x[x != y], y[x != y]
+        if not len(open_):
+            break
+        # Every tree takes one link to a tree of smaller label, so no cycle closes.
+        high, pick = np.unique(np.maximum(x, y), return_index=True)
+        parent = np.arange(len(nodes))
+        parent[high] = np.minimum(x, y)[pick]
+        kept.append(open_[pick])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+    own = np.concatenate(kept)
+    return a[own], b[own]
+
+
 def links(distinct: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
     """``a, b``: links between the distinct fingerprints ``fp`` (confirmed by ``fp2``)
     that join all that link, ``a < b`` as signed numbers."""
@@ -313,7 +337,7 @@ def links(distinct: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
 
         fps = joined("fps", np.uint64)
         second = joined("second", np.uint64) if confirmed else fps
-        a, b = meet(scheme, fps, second, joined("keys", np.uint64), joined("own", bool))
+        a, b = forest(*meet(scheme, fps, second, joined("keys", np.uint64), joined("own", bool)))
         both = np.unique(np.sort(np.stack([a.view(np.int64), b.view(np.int64)], axis=1), axis=1), axis=0)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
@@ -380,9 +404,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
                 scheme: Scheme = COPIES) -> DataFrame:
     """``docs`` without the near-duplicates: of every component the row with the
     smallest key stays, null keys last; of equal keys one row."""
-    base = docs.withColumnsRenamed({c: f"d_{c}" for c in docs.columns})
-    base = base.withColumn("row", F.monotonically_increasing_id())
+    base = prefixed(docs).withColumn("row", F.monotonically_increasing_id())
     base = stored(fingerprints(base, f"d_{text}", shingle, "fp", "fp2"), "fingerprinted")
     least = F.struct(F.col(f"d_{key}").isNull().alias("none"), F.col(f"d_{key}").alias("key"), F.col("row").alias("row"))
     kept = grouped(base, least, scheme).select(F.col("least.row").alias("row")).distinct()
-    return base.join(kept, "row", "left_semi").select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])
+    return restored(base.join(kept, "row", "left_semi"), docs.columns)
