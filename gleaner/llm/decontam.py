@@ -107,7 +107,7 @@ def shard_matches(ids: np.ndarray, windows: list[Windows]) -> tuple[np.ndarray,
     ``ids`` holds the word numbers of its documents, with a 0 after each."""
     found = []
     unknown = np.flatnonzero(ids == 0)
-    if not len(unknown):
+    if not len(unknown) or not windows:
         return tuple(np.empty(0, dtype=np.int64) for _ in range(4))
     known = unknown[np.searchsorted(unknown, np.arange(len(ids)))] - np.arange(len(ids))
     for w in windows:

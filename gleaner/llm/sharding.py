@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import stored
 
 SHARDS = 40
-ROUNDS = 4
+ROUNDS = 6
+VOTED_ROUNDS = 3
 BUCKET_ROWS = 20_000
 DRAWS = 1024
 
@@ -50,14 +51,18 @@ def _ranked(rows: DataFrame, bucket: Column, order: list[str], into: str) -> Dat
     return ranked.withColumn(into, F.col("_start") + F.col("_rank")).drop("_bucket", "_rank", "_start")
 
 
-def _round(state: DataFrame, quota: int, turn: int) -> DataFrame:
+def _round(state: DataFrame, shards: int, quota: int, turn: int) -> DataFrame:
     """One round of moves: groups ask for shards, shards admit up to their quota."""
     votes = state.filter("parts > 0").groupBy("hub", "shard", "members", "parts").agg(F.count("*").alias("votes"))
     liked = Window.partitionBy("hub").orderBy(F.desc("votes"), F.xxhash64("hub", "shard", F.lit(turn)), "shard")
+    # A small group that its own shards have refused asks a drawn one.
+    places = F.count("*").over(Window.partitionBy("hub"))
+    refused = F.lit(turn >= VOTED_ROUNDS) & (F.col("parts") == 1) & (F.col("places") > 1)
+    drawn = F.pmod(F.xxhash64("hub", F.lit(turn)), F.lit(shards)).cast("int")
     asked = (
-        votes.withColumn("part", F.row_number().over(liked))
+        votes.withColumns({"part": F.row_number().over(liked), "places": places})
         .filter("part <= parts")
-        .select("hub", "part", F.col("shard").alias("target"), F.ceil(F.col("members") / F.col("parts")).alias("room"))
+        .select("hub", "part", F.when(refused, drawn).otherwise(F.col("shard")).alias("target"), F.ceil(F.col("members") / F.col("parts")).alias("room"))
     )
     # Large groups first, then in a drawn order; sums over buckets of that order.
     size_class = -F.floor(F.col("room") * 8 / F.lit(quota))
@@ -92,11 +97,12 @@ def _balanced(state: DataFrame, shards: int, total: int) -> DataFrame:
             bounds.append((upto, s))
     of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("shard") + 1)
     buckets = max(1, math.ceil(total / shards / BUCKET_ROWS))
-    # Within a shard, groups lie together, those dealt to several shards first,
-    # by row, as one of them may fill the shard; then documents without links.
+    # Within a shard, groups that are whole come first, then the parts of groups
+    # that no shard could hold, then documents without links: the last give way.
+    spread = F.floor(_fraction("row") * buckets)
     bucket = (
-        F.when(F.col("parts") == 0, F.floor(_fraction("row") * buckets) + buckets)
-        .when(F.col("members") > BUCKET_ROWS, F.floor(_fraction("row") * buckets) - buckets)
+        F.when(F.col("parts") == 0, spread + 2 * buckets)
+        .when(F.col("parts") > 1, spread + buckets)
         .otherwise(F.floor(_fraction("hub") * buckets))
     )
     ranked = _ranked(state, bucket, ["hub", "row"], "_place")
@@ -125,7 +131,7 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
     )
     state = stored(state, "shards")
     for turn in range(rounds if total else 0):
-        state = stored(_round(state, quota, turn), "shards")
+        state = stored(_round(state, shards, quota, turn), "shards")
     state = stored(_balanced(state, shards, total), "shards")
     buckets = max(1, math.ceil(total / shards / BUCKET_ROWS))
     slotted = _ranked(state, F.floor(_fraction("row") * buckets), ["row"], "slot")
