@@ -218,13 +218,12 @@ def digest(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """Hits per document."""
     found = find(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), benchmark)
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
-    return found.select("key", "n_words", covered(F.col("matches")).alias("n_hit"), items.alias("items"),
-                        F.coalesce(F.array_max(F.transform("matches", lambda m: m["n_words"])), F.lit(0)).alias("longest")).select(
+    hits = found.select("key", "n_words", covered(F.col("matches")).alias("n_hit"), items.alias("items"))
+    return hits.select(
         F.col("key").alias(key),
         F.col("n_words").cast("long").alias("n_words"),
         F.col("n_hit").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.col("longest").cast("long").alias("longest_match"),
-    )
+    )

@@ -31,6 +31,7 @@ CONTEXT_BONUS = 0.3
 
 DIGITS = "[0-9]"
 LOCAL, LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
+WORD = "[0-9A-Za-z_]"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
 
@@ -105,9 +106,9 @@ RULES = (
     Rule("card", "[0-9][ -]?[0-9]", "[0-9](?:[ -]?[0-9])++", _card, 0.7, "card|visa|credit|pay", True),
     Rule("phone", r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]", _phone, 0.6, "phone|tel|call|mobile|fax", True),
     Rule("iban", "[A-Z]{2}[0-9]{2}",
-         "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban, 0.7,
+         rf"(?<!{WORD})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{WORD})", _iban, 0.7,
          "iban|account|bank|konto|transfer", False),
-    Rule("ssn", "[0-9]-[0-9]{2}-[0-9]", "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    Rule("ssn", "[0-9]-[0-9]{2}-[0-9]", rf"(?<!{WORD})[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?!{WORD})",
          lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 0.4, r"\bssn\b|social|security", False),
 )
 KINDS = [r.kind for r in RULES]
@@ -187,11 +188,9 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    scores = F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",")
     return found.select(
         key,
         *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(joined(of(*BASE)), 256).alias("base_sha256"),
         joined(F.col("pii")).alias("spans"),
-        scores.alias("scores"),
     )

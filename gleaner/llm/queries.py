@@ -1,4 +1,4 @@
-"""The operators on the given tables, one query each."""
+"""The operators on the given tables, one query each; ``ORACLE`` has their SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import ann, decontam, langid, licenses, packing, pii, sharding, simhash, suffix_dedup, warc
 from gleaner.llm.common import table
+from gleaner.llm.oracle import ORACLE  # noqa: F401
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,5 +50,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language, op3_pii, op4_licenses, op5_ann, op6_simhash, op7_decontamination, op8_sharding, op9_warc, op10_suffix_dedup)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_language, op3_pii, op4_licenses, op5_ann, op6_simhash, op7_decontamination, op8_sharding,
+        op9_warc, op10_suffix_dedup,
+    )
+}
