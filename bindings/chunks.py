@@ -56,7 +56,6 @@ def chunk_variants(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.count("*").alias("chunks"))
         .select(F.lit(name).alias("variant"), "document_id", "chunks")
         for name, chunker in C.CHUNKERS.items()
-        if name != "structure_aware"
     ]
     return reduce(DataFrame.unionByName, counted)
 
@@ -211,9 +210,11 @@ ORACLE = {
     "chunk_structure_aware_lines": STRUCTURE_LINES,
     "chunk_parent_child": f"WITH {B.DOCS}, {B.LINES}, {CHILDREN} SELECT {SHOWN} FROM children",
     "chunk_parents": f"WITH {B.DOCS}, {B.LINES}, {PARENTS} SELECT {SHOWN} FROM parents",
-    "chunk_variants": f"""WITH {B.DOCS}, {B.LINES}, {CHILDREN}, {B.FIXED}
+    "chunk_variants": f"""WITH RECURSIVE {B.DOCS}, {B.LINES}, {CHILDREN}, {B.FIXED},
+structured AS (SELECT * FROM ({STRUCTURE_LINES}))
 SELECT 'parent_child' AS variant, document_id, count(*) AS chunks FROM children GROUP BY document_id
-UNION ALL SELECT 'fixed_size', document_id, count(*) FROM fixed GROUP BY document_id""",
+UNION ALL SELECT 'fixed_size', document_id, count(*) FROM fixed GROUP BY document_id
+UNION ALL SELECT 'structure_aware', document_id, count(*) FROM structured GROUP BY document_id""",
     "embedding_text": f"WITH {B.DOCS}, {B.FIXED} SELECT id, md5('Title: ' || title || chr(10) || 'Provider: ' || provider "
     "|| chr(10) || 'Section: ' || section || chr(10) || chr(10) || text) AS text_md5 FROM fixed",
     "point_ids": f"""WITH {B.DOCS}, {B.FIXED},

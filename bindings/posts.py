@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindings import base as B
+from gleaner.operators import chunking as C
 from gleaner.schemas import CHUNK_KEY
+from gleaner.session import new_folder
 from gleaner.sources import collections as K
 from gleaner.sources import export as X
 from gleaner.sources import posts as P
+from gleaner.sources import tables as TB
+from gleaner.sources.records import write_json_arrays
 
 
 def _records(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -60,6 +64,52 @@ def shape_union(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def records_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles written as lines and as arrays, both read back as posts."""
+    folder = new_folder(spark, "records")
+    rows = _records(spark, sf)["article"].withColumn("id", F.col("id").cast("string"))
+    rows.write.json(f"{folder}/lines")
+    write_json_arrays(rows, f"{folder}/arrays", "id")
+    both = [
+        P.as_posts(P.read_records(spark, f"{folder}/{form}", "article", lines=form == "lines"), "article")
+        .select(F.lit(form).alias("form"), "id", "title", "html", F.coalesce("provider", F.lit("-")).alias("provider"))
+        for form in ("lines", "arrays")
+    ]
+    return both[0].unionByName(both[1])
+
+
+def first_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids that several types share: the article comes first, and a type can be asked for."""
+    posts = P.union_posts(_records(spark, sf))
+    any_type, provider = P.get_post(posts, 7), P.get_post(posts, 7, "provider")
+    return any_type.unionByName(provider).select("content_type", "id", "title")
+
+
+def document_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and chunks written as tables and read back."""
+    folder = new_folder(spark, "tables")
+    docs = B.whole_documents(spark, sf)
+    TB.write_documents(docs, f"{folder}/documents")
+    TB.write_chunks(C.fixed_size_chunks(TB.read_documents(spark, f"{folder}/documents")), folder, "fixed_size")
+    chunks = TB.read_chunks(spark, folder, "fixed_size")
+    names = TB.read_documents(spark, f"{folder}/documents").select(F.col("id").alias("document_id"), "name")
+    return chunks.join(names, "document_id").select("name", "id", "document_id", F.md5("text").alias("text_md5"))
+
+
+def case_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation cases written as arrays and read back, with their categories."""
+    folder = new_folder(spark, "cases")
+    rows = B.table(spark, sf, "benchmark").select(
+        F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"),
+        F.array(F.col("item_id").cast("string")).alias("expected_documents"),
+        F.when(F.col("item_id") % 2 == 0, F.col("text")).alias("expected_answer"),
+        F.when(F.col("item_id") % 3 == 0, "factual").otherwise("pricing").alias("category"),
+    )
+    write_json_arrays(rows, folder, "id", per_file=7)
+    back = TB.read_cases(spark, folder)
+    return back.select("id", "question", F.coalesce("expected_answer", F.lit("-")).alias("expected_answer"), "category")
+
+
 def eav_pivot(spark: SparkSession, sf: str) -> DataFrame:
     """The last value of three event types per user."""
     events = B.table(spark, sf, "events").select(
@@ -105,15 +155,15 @@ def _site(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def latest_n_export(spark: SparkSession, sf: str) -> DataFrame:
     posts, _ = _site(spark, sf)
-    return X.export_articles(posts).select("id", "title", "content", "excerpt", "post_date", "post_type")
+    return X.export_articles(posts, 1000).select("id", "title", "content", "excerpt", "post_date", "post_type")
 
 
 def export_providers(spark: SparkSession, sf: str) -> DataFrame:
-    return X.export_providers(*_site(spark, sf)).select("id", "name", "post_modified", "meta_description")
+    return X.export_providers(*_site(spark, sf), 300).select("id", "name", "post_modified", "meta_description")
 
 
 def export_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    rows = X.export_reviews(*_site(spark, sf))
+    rows = X.export_reviews(*_site(spark, sf), 3000)
     return rows.select(
         "id", "title", "post_date", "pros", "cons", "review", "rating_price", "provider",
         F.coalesce("provider_id", F.lit(-1)).alias("provider_id"),
@@ -147,6 +197,10 @@ def index_report(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "shape_union": shape_union,
+    "records_round_trip": records_round_trip,
+    "first_posts": first_posts,
+    "document_round_trip": document_round_trip,
+    "case_round_trip": case_round_trip,
     "eav_pivot": eav_pivot,
     "latest_n_export": latest_n_export,
     "export_providers": export_providers,
@@ -185,6 +239,21 @@ SELECT 'review', CAST(c_custkey AS VARCHAR), c_name, lower(c_name), CASE WHEN c_
 UNION ALL
 SELECT 'provider', CAST(s_suppkey AS VARCHAR), n, '', '<p>page</p>', coalesce(nullif(n, ''), '-'), 'http://site.example/?a=1&id=' || s_suppkey, '2024-01-03'
 FROM (SELECT *, CASE WHEN s_acctbal > 0 THEN s_name WHEN s_nationkey % 2 = 0 THEN 'spare title' ELSE '' END AS n FROM supplier)""",
+    "records_round_trip": """SELECT form, CAST(p_partkey AS VARCHAR) AS id,
+  CASE p_size % 3 WHEN 0 THEN p_name || ' by NEXTIVA or RingCentral' WHEN 1 THEN p_name || ' by ringcentral' ELSE p_name END AS title,
+  CASE WHEN p_size > 5 THEN p_type ELSE '' END AS html,
+  CASE p_size % 3 WHEN 0 THEN 'Nextiva' WHEN 1 THEN 'RingCentral' ELSE '-' END AS provider
+FROM part, (VALUES ('lines'), ('arrays')) f(form)""",
+    "first_posts": """SELECT 'article' AS content_type, '7' AS id,
+  CASE p_size % 3 WHEN 0 THEN p_name || ' by NEXTIVA or RingCentral' WHEN 1 THEN p_name || ' by ringcentral' ELSE p_name END AS title
+FROM part WHERE p_partkey = 7
+UNION ALL SELECT 'provider', '7', CASE WHEN s_acctbal > 0 THEN s_name WHEN s_nationkey % 2 = 0 THEN 'spare title' ELSE '' END
+FROM supplier WHERE s_suppkey = 7""",
+    "document_round_trip": f"""WITH {B.DOCS}, {B.FIXED}
+SELECT content_type || '-' || document_id || '-doc-' || document_id AS name, id, document_id, md5(text) AS text_md5 FROM fixed""",
+    "case_round_trip": """SELECT CAST(item_id AS VARCHAR) AS id, text AS question,
+  CASE WHEN item_id % 2 = 0 THEN text ELSE '-' END AS expected_answer, CASE WHEN item_id % 3 = 0 THEN 'factual' ELSE 'pricing' END AS category
+FROM benchmark""",
     "eav_pivot": """SELECT user_id, arg_max(value, row(ts, event_id)) FILTER (event_type = 'click') AS click,
   arg_max(value, row(ts, event_id)) FILTER (event_type = 'view') AS view, arg_max(value, row(ts, event_id)) FILTER (event_type = 'error') AS error
 FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY 1""",

@@ -77,10 +77,27 @@ def eval_compare(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eval_by_category(spark: SparkSession, sf: str) -> DataFrame:
+    """The four strategies with answers, by category."""
+    _, by_category = CO.compare(_results(spark, sf))
+    return shown(by_category, "variant", "category")
+
+
+def eval_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """A generator that fails for some questions: their retrieval scores stay."""
     near, lexical = stored(spark, sf)
-    search = {"sparse": lexical, "dense": near}
-    results = CO.run_cases(cases(spark, sf), search, generate=None)
-    return shown(EV.category_report(results, "variant"), "variant", "category")
+
+    def answer(question: str, context: str) -> str:
+        if len(question) % 3 == 0:
+            raise ValueError("no model")
+        return "an answer"
+
+    results = CO.run_cases(cases(spark, sf), {"sparse": lexical}, generate=CO.guarded(answer))
+    show = {c: F.coalesce(B.rounded(c), F.lit(-1.0)) for c in ("recall_at_k", "ndcg_at_k", "context_recall")}
+    return results.select(
+        F.col("id").alias("query_id"), F.coalesce("error", F.lit("-")).alias("error"),
+        *[B.rounded(c).alias(c) for c in ("precision_at_k", "reciprocal_rank", "context_precision")],
+        *[c.alias(n) for n, c in show.items()],
+    )
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,6 +170,7 @@ QUERIES = {
     "eval_means": eval_means,
     "eval_compare": eval_compare,
     "eval_by_category": eval_by_category,
+    "eval_failures": eval_failures,
     "eval_generation": eval_generation,
     "refusals": refusals,
     "engineering_means": engineering_means,
@@ -245,8 +263,13 @@ ORACLE = {
 SELECT query_id, round(precision_at_k, 6) AS precision_at_k, round(reciprocal_rank, 6) AS reciprocal_rank,
   coalesce(round(recall_at_k, 6), -1) AS recall_at_k, coalesce(round(ndcg_at_k, 6), -1) AS ndcg_at_k FROM case_scores""",
     "eval_means": f"{HEAD}, {TOP}, {scores_sql({'sparse': 'top'})} SELECT {MEANS} FROM case_scores",
-    "eval_by_category": f"""{HEAD}, {HASHED}, {DENSE}, {TOP}, {B.ranked_sql("dots", 5, "d5")}, {scores_sql({"sparse": "top", "dense": "d5"})}
-SELECT variant, CASE WHEN n = 0 THEN 'unanswerable' ELSE 'factual' END AS category, {MEANS} FROM case_scores GROUP BY ALL""",
+    "eval_by_category": f"""{COMPARED}
+SELECT variant, CASE WHEN n = 0 THEN 'unanswerable' ELSE 'factual' END AS category, {MEANS} FROM final GROUP BY ALL""",
+    "eval_failures": f"""{HEAD}, {TOP}, {scores_sql({"sparse": "top"})}
+SELECT query_id, CASE WHEN len(query) % 3 = 0 THEN 'no model' ELSE '-' END AS error, round(precision_at_k, 6) AS precision_at_k,
+  round(reciprocal_rank, 6) AS reciprocal_rank, CASE WHEN len(query) % 3 = 0 THEN 0 ELSE round(precision_at_k, 6) END AS context_precision,
+  coalesce(round(recall_at_k, 6), -1) AS recall_at_k, coalesce(round(ndcg_at_k, 6), -1) AS ndcg_at_k,
+  CASE WHEN len(query) % 3 = 0 THEN -1 ELSE coalesce(round(recall_at_k, 6), -1) END AS context_recall FROM case_scores""",
     "eval_compare": f"""{COMPARED}
 SELECT variant, count(*) AS case_count, {MEANS}, round(avg(grounded), 6) AS faithfulness, round(avg(relevance), 6) AS answer_relevance,
   round(avg(precision_at_k), 6) AS context_precision, round(coalesce(avg(recall_at_k), 0), 6) AS context_recall, round(avg(grounded), 6) AS groundedness,

@@ -12,6 +12,7 @@ from gleaner.operators import chunking as C
 from gleaner.operators import embedding as E
 from gleaner.operators import kmeans as KM
 from gleaner.operators import tree as TR
+from gleaner.session import cut_lineage
 
 DIMS = 64
 
@@ -27,7 +28,7 @@ def kmeans_update(spark: SparkSession, sf: str) -> DataFrame:
 def kmeans_assign(spark: SparkSession, sf: str) -> DataFrame:
     """Every vector to the most similar label centroid: one round of k-means."""
     vectors = B.table(spark, sf, "embeddings")
-    centers = KM.update(vectors.withColumn("cluster", F.col("label"))).toPandas()
+    centers = cut_lineage(KM.update(vectors.withColumn("cluster", F.col("label"))))
     rows = KM.assign(vectors, centers)
     return rows.select("vec_id", "cluster", B.rounded("similarity").alias("similarity"))
 

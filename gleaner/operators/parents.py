@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import ranking as R
 from gleaner.operators.fusion import Retriever
 from gleaner.schemas import CHUNK_COLUMNS, CHUNK_KEY
+from gleaner.session import cut_lineage
 
 
 def parent_store(parents: DataFrame) -> DataFrame:
@@ -42,6 +43,9 @@ def expand_to_parents(hits: DataFrame, parents: DataFrame, rows: int | None = No
 
 def parent_expanding_retriever(search: Retriever, parents: DataFrame) -> Retriever:
     def run(queries: DataFrame, k: int = R.TOP_K) -> DataFrame:
-        return expand_to_parents(search(queries, k), parents)
+        # The hits are used twice; written once, they are searched once, and their
+        # counted number lets their parents be selected before any shuffle of text.
+        hits = cut_lineage(search(queries, k))
+        return expand_to_parents(hits, parents, hits.count())
 
     return run

@@ -88,20 +88,22 @@ def listwise_rerank(hits: DataFrame, queries: DataFrame, responses: DataFrame, k
     Candidates that were not listed follow in their old order; the score counts
     down from the pool size. Unusable answers fall back to the lexical reranker.
     """
-    pool = hits.withColumn("_n", F.count("*").over(R.W.partitionBy("query_id")))
-    answered = pool.join(
+    asked = queries.select("query_id", F.col("query").alias("_query")).join(
         responses.select("query_id", parsed_order(F.col("response")).alias("_order")), "query_id", "left"
     )
+    pool = hits.withColumn("_n", F.count("*").over(R.W.partitionBy("query_id"))).join(asked, "query_id")
     valid = F.filter("_order", lambda i: (i >= 0) & (i < F.col("_n")))
-    usable = answered.withColumn("_order", F.coalesce(valid, F.array().cast("array<bigint>")))
-    listed = usable.filter(F.size("_order") > 0)
-    at = F.array_position("_order", (F.col("rank") - 1).cast("long"))
-    ordered = R.rerank_rows(listed, [F.nullif(at, F.lit(0)).asc_nulls_last(), F.col("rank")])
-    ranked = ordered.filter(F.col("rank") <= k).withColumn(
-        "score", (F.col("_n") - F.col("rank") + 1).cast("double")
+    usable = F.coalesce(F.size(valid) > 0, F.lit(False))
+    at = F.when(usable, F.nullif(F.array_position(valid, (F.col("rank") - 1).cast("long")), F.lit(0)))
+    overlap = F.when(~usable, T.token_overlap(F.col("_query"), F.col("text")).cast("double"))
+    placed = pool.withColumns({"_at": at, "_overlap": overlap, "_usable": usable})
+    ordered = R.rerank_rows(placed, [F.col("_at").asc_nulls_last(), F.col("_overlap").desc_nulls_last(), F.col("rank")])
+    counted = F.when(F.col("_usable"), (F.col("_n") - F.col("rank") + 1).cast("double")).otherwise(F.col("_overlap"))
+    return (
+        ordered.filter(F.col("rank") <= k)
+        .withColumn("score", counted)
+        .drop("_n", "_order", "_query", "_at", "_overlap", "_usable")
     )
-    rest = usable.filter(F.size("_order") == 0).drop("_order", "_n")
-    return ranked.drop("_order", "_n").unionByName(lexical_rerank(rest, queries, k))
 
 
 def rerank_retriever(

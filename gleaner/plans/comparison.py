@@ -59,7 +59,7 @@ def run_cases(
     The raw question is searched, by each retriever or by one function that
     returns the hits of all variants. ``timings(variant, id, *_ms)`` are measured
     elsewhere: a batch job has no latency per question. A case whose generator
-    failed keeps its error and neutral scores.
+    failed keeps its error and its retrieval scores; those of the answer are neutral.
     """
     asked = cases.select(F.col("id").alias("query_id"), F.col("question").alias("query"))
     if callable(searches):
@@ -112,10 +112,10 @@ def run_cases(
             }
         ).drop("context")
         ok = F.col("error").isNull()
-        neutral = ["precision_at_k", "reciprocal_rank", "faithfulness", "answer_relevance", "context_precision", "groundedness"]
+        neutral = ["faithfulness", "answer_relevance", "context_precision", "groundedness"]
         rows = rows.withColumns(
             {c: F.when(ok, F.col(c)).otherwise(F.lit(0.0)) for c in neutral}
-            | {c: F.when(ok, F.col(c)) for c in ("recall_at_k", "ndcg_at_k", "context_recall")}
+            | {"context_recall": F.when(ok, F.col("context_recall"))}
         )
     rows = rows.withColumn(
         "cost_usd",

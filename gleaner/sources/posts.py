@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.schemas import CONTENT_TYPES, RAW_POST
+from gleaner.sources.records import read_json
 
 # Fields of the three source shapes.
 COMMON = "id string, guid string, slug string, title string, content string, post_date string, post_modified string"
@@ -21,13 +22,12 @@ SHAPES = {
 KNOWN_PROVIDERS = ("Nextiva", "RingCentral")
 
 
-def read_records(spark: SparkSession, path: str, content_type: str) -> DataFrame:
-    """A JSON array of records, or one record per line. A file that is not there
-    or does not hold records fails."""
+def read_records(spark: SparkSession, path: str, content_type: str, lines: bool = False) -> DataFrame:
+    """A JSON array of records per file, or with ``lines`` one record per line. A
+    file that is not there or does not hold records fails."""
     if content_type not in SHAPES:
         raise ValueError(f"unknown content type: {content_type}")
-    schema = SHAPES[content_type]
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return read_json(spark, path, SHAPES[content_type], lines)
 
 
 def _text(column: str) -> Column:
@@ -82,20 +82,23 @@ def union_posts(records: dict[str, DataFrame], content_type: str | None = None)
     return reduce(DataFrame.unionByName, [as_posts(records[t], t) for t in wanted])
 
 
-def read_posts(spark: SparkSession, paths: dict[str, str], content_type: str | None = None) -> DataFrame:
-    return union_posts(
-        {t: read_records(spark, p, t) for t, p in paths.items() if content_type in (None, t)}, content_type
-    )
+def read_posts(
+    spark: SparkSession, paths: dict[str, str], content_type: str | None = None, lines: bool = False
+) -> DataFrame:
+    wanted = {t: p for t, p in paths.items() if content_type in (None, t)}
+    return union_posts({t: read_records(spark, p, t, lines) for t, p in wanted.items()}, content_type)
 
 
 def get_post(posts: DataFrame, post_id: str | int, content_type: str | None = None) -> DataFrame:
-    """The posts with that id, at most one per type; fails if there is none."""
+    """The first post with that id, articles before reviews before providers;
+    fails if there is none."""
     found = posts.filter(F.col("id") == str(post_id))
     if content_type is not None:
         found = found.filter(F.col("content_type") == content_type)
     if found.isEmpty():
         raise KeyError(f"no post with id {post_id!r} ({content_type or 'any type'})")
-    return found.limit(1)
+    priority = F.array_position(F.array(*[F.lit(t) for t in CONTENT_TYPES]), F.col("content_type"))
+    return found.orderBy(priority, "title", "html").limit(1)
 
 
 __all__ = ["RAW_POST", "as_posts", "clean_url", "get_post", "infer_provider", "read_posts", "read_records", "union_posts"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.schemas import CHUNK, DOCUMENT, EVAL_CATEGORIES, NODE, checked
+from gleaner.sources.records import read_json
 
 CASE = "id string, question string, expected_documents array<string>, expected_answer string, category string"
 
@@ -63,10 +64,9 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(NODE).parquet(path)
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation cases from a JSON array; unknown categories fail."""
-    rows = spark.read.schema(CASE).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return checked(rows, "category", EVAL_CATEGORIES)
+def read_cases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Evaluation cases from a JSON array or from lines; unknown categories fail."""
+    return checked(read_json(spark, path, CASE, lines), "category", EVAL_CATEGORIES)
 
 
 def categories_present(cases: DataFrame) -> DataFrame:

@@ -113,7 +113,8 @@ def test_comparison_with_failures(spark):
     rows = {(r.variant, r.id): r for r in results.collect()}
     assert rows["one", "a"].recall_at_k == 1 and rows["two", "a"].recall_at_k == 0
     failed = rows["two", "b"]
-    assert failed.error == "model down" and failed.recall_at_k is None and failed.precision_at_k == 0 and failed.answer is None
+    assert failed.error == "model down" and failed.recall_at_k == 1 and failed.reciprocal_rank == 1 and failed.answer is None
+    assert failed.faithfulness == failed.groundedness == failed.context_precision == 0 and failed.context_recall is None
     assert rows["one", "a"].retrieved_documents == ["1"] and rows["one", "a"].embed_tokens == 2
     report, by_category = CO.compare(results)
     report = {r.variant: r for r in report.collect()}

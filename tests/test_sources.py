@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gleaner.operators.embedding import batched_embedder, hashing_embedder
 from gleaner.plans.ingest import ingest
 from gleaner.schemas import CHUNK_KEY, RAW_POST
-from gleaner.sources import collections as K
+from gleaner.sources import collections as K, records
 from gleaner.sources import export, posts, tables
 from gleaner.streaming.ingest import ingest_stream, stream_posts
 
@@ -32,6 +32,31 @@ def test_read_shapes(spark, tmp_path):
         posts.read_records(spark, str(tmp_path / "missing.json"), "article").count()
 
 
+def test_json_lines_and_arrays(spark, tmp_path):
+    record = {"id": "1", "title": "t"}
+    lines = "\n".join(json.dumps(record | {"id": str(i)}) for i in range(3))
+    path = tmp_path / "records.json"
+    path.write_text(lines)
+    assert posts.read_records(spark, str(path), "article", lines=True).count() == 3
+    for text in (lines, json.dumps(record), json.dumps([record]) + "\n" + json.dumps([record]), json.dumps([record]) + " x", ""):
+        path.write_text(text)
+        with pytest.raises(ValueError, match="not one JSON array"):
+            posts.read_records(spark, str(path), "article")
+    path.write_text(" \n" + json.dumps([record, record]) + "\n")
+    assert posts.read_records(spark, str(path), "article").count() == 2
+    rows = spark.range(25).selectExpr("cast(id as string) id", "'a \"quoted\" title' title")
+    records.write_json_arrays(rows, str(tmp_path / "arrays"), "id", per_file=10)
+    back = posts.read_records(spark, str(tmp_path / "arrays"), "article")
+    assert sorted(int(r.id) for r in back.collect()) == list(range(25))
+
+
+def test_first_post_by_type(spark):
+    rows = [("7", t, "s", "h", kind, None, None, None, None) for t, kind in (("p", "provider"), ("r", "review"), ("a", "article"))]
+    found = spark.createDataFrame(rows, posts.RAW_POST).repartition(3)
+    assert posts.get_post(found, 7).first().content_type == "article"
+    assert posts.get_post(found.filter("content_type <> 'article'"), 7).first().content_type == "review"
+
+
 def test_export(spark):
     table = spark.createDataFrame(
         [
