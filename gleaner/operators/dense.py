@@ -2,15 +2,15 @@
 
 A block of queries is one matrix. Every task streams its vectors through it in
 Arrow batches and keeps k rows per query, so what leaves a task is k rows per
-query and never a pair per (query, chunk). Up to ``BLOCK_QUERIES`` queries the
-block is broadcast and the vectors are not moved at all; beyond that, blocks of
-queries meet bounded cells of vectors in a cogroup.
+query and never a pair per (query, chunk). Blocks of queries, bounded in bytes,
+are broadcast one after another; the vectors are scanned for each and never
+moved.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,8 +21,8 @@ from pyspark.sql.types import StructField, StructType
 from gleaner.operators import ranking as R
 from gleaner.schemas import CHUNK_KEY, FILTERS, SECTION_HINT
 
-BLOCK_QUERIES = 4_096
-CELL_VECTORS = 50_000
+# Bytes of queries in one broadcast.
+BLOCK_BYTES = 32 << 20
 # Elements of one score matrix (8 bytes each).
 SCORE_CELLS = 8_000_000
 
@@ -94,8 +94,7 @@ def nearest(
     order: list[str],
     vector: str = "embedding",
     filters: dict[str, str] | None = None,
-    block: int = BLOCK_QUERIES,
-    cell: int = CELL_VECTORS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> tuple[DataFrame, int]:
     """Ranked ``query_id, *order, score, rank`` and the number of queries.
 
@@ -108,47 +107,29 @@ def nearest(
     vectors = vectors.select(*dict.fromkeys([*order, *filters]), F.col(vector).alias("embedding"))
     schema = _result_schema(vectors, queries, order)
     columns = schema.fieldNames()
-    # One run of the queries both checks their number and fetches the block.
-    block_rows = queries.limit(block + 1).toPandas()
-    n_queries = len(block_rows)
-    if n_queries <= block:
-        shared = vectors.sparkSession.sparkContext.broadcast(block_rows)
+    context = vectors.sparkSession.sparkContext
+
+    def scan_for(rows: list) -> DataFrame:
+        shared = context.broadcast(pd.DataFrame.from_records(rows, columns=queries.columns))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = _block_top_k(batches, shared.value, "embedding", k, order, filters)
             if best is not None:
                 yield best[columns]
 
-        candidates = vectors.mapInPandas(scan, schema)
-    else:
-        n_queries = queries.count()
-        blocks = math.ceil(n_queries / block)
-        cells = max(1, math.ceil(vectors.count() / cell))
-        spread_vectors = vectors.withColumns(
-            {
-                "_cell": F.pmod(F.xxhash64(*order), F.lit(cells)),
-                "_block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))),
-            }
-        )
-        spread_queries = queries.withColumns(
-            {
-                "_block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"),
-                "_cell": F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>")),
-            }
-        )
-
-        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            best = None
-            if len(left) and len(right):
-                best = _block_top_k(iter([left]), right.reset_index(drop=True), "embedding", k, order, filters)
-            return pd.DataFrame(columns=columns) if best is None else best[columns]
-
-        candidates = (
-            spread_vectors.groupBy("_cell", "_block")
-            .cogroup(spread_queries.groupBy("_cell", "_block"))
-            .applyInPandas(meet, schema)
-        )
-    return R.top_k(candidates, k, order), n_queries
+        return vectors.mapInPandas(scan, schema)
+
+    found, rows, size, n_queries = [], [], 0, 0
+    for row in queries.toLocalIterator():
+        rows.append(row)
+        size += 8 * len(row["vector"] or ()) + 64
+        n_queries += 1
+        if size >= block_bytes:
+            found.append(scan_for(rows))
+            rows, size = [], 0
+    if rows or not found:
+        found.append(scan_for(rows))
+    return R.top_k(reduce(DataFrame.unionByName, found), k, order), n_queries
 
 
 def retriever(points: DataFrame, embed: Callable[[Column], Column], vector: str = "embedding"):

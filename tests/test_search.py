@@ -126,12 +126,12 @@ def plain_nearest(rows, vector, k, keep=lambda r: True):
     return [i for _, i in sorted(scored)[:k]]
 
 
-@pytest.mark.parametrize("block,cell", [(100, 1000), (3, 40)])
-def test_nearest_equals_brute_force(spark, block, cell):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_nearest_equals_brute_force(spark, block_bytes):
     rows, table = vectors(spark)
     asked = [(i, r[1], r[2] if i % 2 else None) for i, r in enumerate(rows[::25])] + [(99, rows[-2][1], "L0")]
     queries = spark.createDataFrame(asked, "query_id long, vector array<float>, filter_label string")
-    hits, n = dense.nearest(table, queries, 6, ["id"], filters={"label": "filter_label"}, block=block, cell=cell)
+    hits, n = dense.nearest(table, queries, 6, ["id"], filters={"label": "filter_label"}, block_bytes=block_bytes)
     got = ids(hits)
     assert n == len(asked)
     for qid, vector, label in asked:
