@@ -6,9 +6,10 @@ of each over the window passes a rectifier, and a softmax layer gives the
 languages. A text is cut into windows from end to end, the windows are applied
 in batches, and their log probabilities are averaged by their length.
 
-Training takes at most ``FIT_DOCS`` labelled documents, at most ``FIT_PER_LANG`` of a
-language, drawn by the hash of their id from all of them, and ``FIT_WINDOWS``
-windows of each from places spread over the text; it runs on the driver. The
+Training takes at most ``FIT_DOCS`` labelled documents, at most ``FIT_PER_LANG`` of each
+of the ``FIT_LANGS`` most frequent languages, drawn by the hash of their id from
+all of them, and ``FIT_WINDOWS`` windows of each from places spread over the
+text; it runs on the driver. The
 prediction sees the text alone.
 
 Null texts, empty ones and those without a letter are ``und`` with score 0; so is
@@ -32,6 +33,7 @@ SYMBOLS = 64
 WIDTHS = (2, 2, 2, 2, 3, 3, 3, 3, 3, 3, 4, 4, 4, 4, 4, 4)
 FIT_DOCS = 8_000
 FIT_PER_LANG = 400
+FIT_LANGS = 1_000
 FIT_WINDOWS = 8
 FIT_ROUNDS = 6
 BATCH = 128
@@ -201,9 +203,15 @@ def remainder(key: str) -> Column:
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str]]:
     """The bounded sample that training takes, drawn by hash from ``docs``."""
     narrow = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"))
-    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("key"))
-    some = narrow.withColumn("n", F.row_number().over(drawn)).filter(F.col("n") <= FIT_PER_LANG)
-    some = some.orderBy("n", "lang").limit(FIT_DOCS).select("key").distinct()  # at most FIT_DOCS ids
+    # Of a frequent language only some ids are looked at, by their hash: four
+    # times as many as are wanted, whatever the size of the table.
+    counts = narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGS)
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = narrow.join(F.broadcast(counts), "lang").filter(place * F.col("count") <= 4 * FIT_PER_LANG)
+    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
+    some = some.select("key", "lang").distinct().withColumn("n", F.row_number().over(drawn))
+    some = some.filter(F.col("n") <= FIT_PER_LANG).orderBy("n", "lang").limit(FIT_DOCS)
+    some = some.select("key").distinct()  # at most FIT_DOCS ids
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.filter("lang is not null and text is not null").join(F.broadcast(some), "key")
     found = rows.orderBy(F.xxhash64("key", "text")).limit(FIT_DOCS).select("text", "lang").collect()  # at most FIT_DOCS rows

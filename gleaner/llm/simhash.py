@@ -125,7 +125,9 @@ def fingerprint(h: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, into: str = "fp",
                  confirm: str | None = None) -> DataFrame:
     """``docs`` with ``into``, the fingerprint as a signed 64-bit number, and, if
-    named, a second one from the hashes mixed once more."""
+    named, a second one from the hashes mixed once more. Both are then of the
+    distinct shingles: a line or word that fills two otherwise different texts
+    doesn't make them copies."""
     names = [into, *([confirm] if confirm else [])]
     schema = StructType(list(docs.schema))
     for name in names:
@@ -133,6 +135,8 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, in
 
     def both(text: str | None) -> list[int]:
         h = hashes(text, shingle)
+        if confirm:
+            h = np.unique(h)
         found = [fingerprint(h)]
         if confirm:
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
