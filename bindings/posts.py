@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from bindings import base as B
 from gleaner.operators import chunking as C
+from gleaner.operators.embedding import embed_chunks, hashing_embedder
+from gleaner.plans.ingest import ingest
 from gleaner.schemas import CHUNK_KEY
 from gleaner.session import new_folder
 from gleaner.sources import collections as K
@@ -15,6 +17,8 @@ from gleaner.sources import posts as P
 from gleaner.sources import tables as TB
 from gleaner.sources.records import write_json_arrays
 
+DIMS = 16
+
 
 def _records(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     def guid(key: str):
@@ -186,6 +190,31 @@ def upsert(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select("point_id", "chunk_id", "version", F.md5("text").alias("text_md5"))
 
 
+def collection_copy(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks upserted twice, the second time with new texts of articles, copied
+    to another collection and read back."""
+    folder = new_folder(spark, "collections")
+    chunks = B.fixed_chunks(spark, sf)
+    again = chunks.filter("content_type = 'article'").withColumn("text", F.concat("text", F.lit(" v2")))
+    K.ensure_collection(spark, f"{folder}/a/fixed", DIMS)
+    for batch in (chunks, again):
+        K.upsert(K.as_points(embed_chunks(batch, hashing_embedder(DIMS))), f"{folder}/a/fixed", CHUNK_KEY)
+    K.copy_collections(spark, ["fixed", "missing"], f"{folder}/a", f"{folder}/b", ["chunk_id"])
+    back = K.as_chunks(K.read_points(spark, f"{folder}/b/fixed"))
+    return back.select("id", "document_id", F.size("embedding").alias("dims"), F.array_join("heading_path", "|").alias("path"),
+                       F.md5("text").alias("text_md5"))
+
+
+def ingest_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts of all shapes through normalization, chunking, embedding and upsert."""
+    folder = new_folder(spark, "ingest")
+    ingest(P.union_posts(_records(spark, sf)), folder, hashing_embedder(DIMS), DIMS, ("fixed_size",))
+    points = K.read_points(spark, f"{folder}/collections/fixed_size")
+    return points.groupBy("content_type").agg(
+        F.count("*").alias("chunks"), F.countDistinct("document_id").alias("documents")
+    )
+
+
 def index_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = K.index_report(B.fixed_chunks(spark, sf))
     return rows.select(
@@ -206,6 +235,8 @@ QUERIES = {
     "export_providers": export_providers,
     "export_reviews": export_reviews,
     "upsert": upsert,
+    "collection_copy": collection_copy,
+    "ingest_job": ingest_job,
     "index_report": index_report,
 }
 
@@ -276,6 +307,10 @@ digests AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('
 SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
   substr('89ab', CAST(CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1 AS INTEGER), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id,
   id AS chunk_id, version, md5(text) AS text_md5 FROM digests""",
+    "collection_copy": f"""WITH {B.DOCS}, {B.FIXED}
+SELECT id, document_id, {DIMS} AS dims, title AS path, md5(text || CASE WHEN content_type = 'article' THEN ' v2' ELSE '' END) AS text_md5 FROM fixed""",
+    "ingest_job": """SELECT 'article' AS content_type, count(*) AS chunks, count(*) AS documents FROM part WHERE p_size > 5
+UNION ALL SELECT 'review', count(*), count(*) FROM customer UNION ALL SELECT 'provider', count(*), count(*) FROM supplier""",
     "index_report": f"""WITH {B.DOCS}, {B.FIXED}
 SELECT content_type, document_id, count(*) AS chunks FROM fixed GROUP BY ALL UNION ALL SELECT 'all', 'all', count(*) FROM fixed""",
 }

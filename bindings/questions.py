@@ -103,15 +103,13 @@ def canonicalize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def topic_grounding(spark: SparkSession, sf: str) -> DataFrame:
-    """Every customer segment and part type as a topic, tested against all documents."""
+    """Every customer segment, passage and turn as a topic, tested against all documents."""
     segments = B.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("topic"))
     texts = B.table(spark, sf, "benchmark").select(F.col("text").alias("topic"))
-    first_words = B.table(spark, sf, "conversations").select(
-        F.array_join(F.slice(T.words(F.col("text")), 1, 2), " ").alias("topic")
-    )
+    turns = B.table(spark, sf, "conversations").select(F.col("text").alias("topic"))
     corpus = B.table(spark, sf, "documents").select(F.lower("text").alias("text"))
     catalog = K.Catalog(segments, segments, segments, corpus)
-    return K.grounded_topics(segments.unionByName(texts).unionByName(first_words), catalog)
+    return K.grounded_topics(segments.unionByName(texts).unionByName(turns), catalog)
 
 
 def extraction_intake(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,6 +186,28 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("query_id", "sufficient", "reason", B.rounded("overlap").alias("overlap"))
 
 
+def evidence_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of a model where it gave a usable one."""
+    n = F.col("query_id") % 4
+    said = (
+        F.when(n == 0, F.lit('{"sufficient": true, "reason": "fine"}'))
+        .when(n == 1, F.lit('{"sufficient": false}'))
+        .when(n == 2, F.lit("no json"))
+    )
+    asked = B.questions(spark, sf).withColumn("answer", said)
+    rows = EV.verdicts(asked, sparse(spark, sf)(B.questions(spark, sf)), min_overlap=0.8)
+    return rows.select("query_id", "sufficient", "reason", B.rounded("overlap").alias("overlap"))
+
+
+def evidence_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of answers, abstentions and evidence."""
+    corrected = _corrected(spark, sf)
+    rows = P.inspect_evidence(P.respond(corrected.outcome, corrected.hits, "sparse"))
+    return rows.select(
+        "query_id", "answer", "abstained", F.col("evidence.reason").alias("reason"), F.col("evidence.retried").alias("retried")
+    )
+
+
 def corrective(spark: SparkSession, sf: str) -> DataFrame:
     return _corrected(spark, sf).attempts.select(
         "query_id", "attempt", joined("queries"), joined("chunk_ids"), "sufficient", "reason",
@@ -234,6 +254,8 @@ QUERIES = {
     "filter_merge_infer": filter_merge_infer,
     "filter_infer_catalog": filter_infer_catalog,
     "evidence": evidence,
+    "evidence_model": evidence_model,
+    "evidence_table": evidence_table,
     "corrective": corrective,
     "answers": answers,
     "context": context,
@@ -397,7 +419,7 @@ ORACLE = {
     "canonicalize": f"{HEAD} SELECT query_id, {canonical_sql('query')} AS text FROM asked",
     "topic_grounding": """WITH topics AS (
   SELECT c_mktsegment AS topic FROM customer UNION SELECT text FROM benchmark
-  UNION SELECT array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:2], ' ') FROM conversations
+  UNION SELECT text FROM conversations
 ),
 parts AS (
   SELECT topic, trim(lower(topic), E' \\n\\t') AS needle, true AS whole FROM topics
@@ -481,3 +503,9 @@ FROM questions LEFT JOIN packed USING (query_id)""",
 firsts AS (SELECT query_id, title, section, url, min(rank) AS r FROM top JOIN fixed USING (content_type, document_id, chunk_no) GROUP BY ALL)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY r) - 1 AS pos, title, section, url FROM firsts""",
 }
+
+ORACLE["evidence_model"] = f"""SELECT query_id, CASE WHEN reason = 'no_hits' THEN sufficient WHEN query_id % 4 = 0 THEN true
+  WHEN query_id % 4 = 1 THEN false ELSE sufficient END AS sufficient,
+  CASE WHEN reason = 'no_hits' THEN reason WHEN query_id % 4 = 0 THEN 'fine' WHEN query_id % 4 = 1 THEN 'ok' ELSE reason END AS reason, overlap
+FROM ({ORACLE["evidence"]})"""
+ORACLE["evidence_table"] = f"""SELECT query_id, answer, answer = '{A.ABSTAIN_MESSAGE}' AS abstained, reason, retried FROM ({ORACLE["answers"]})"""

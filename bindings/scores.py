@@ -164,6 +164,13 @@ def case_costs(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", B.rounded("cost_usd", 9).alias("cost_usd"))
 
 
+def case_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three cases, and one by its id."""
+    every = cases(spark, sf)
+    picked = EV.select_cases(every, first=3).unionByName(EV.select_cases(every.filter("id = 7"), case_id="7"))
+    return picked.select("id", "category")
+
+
 QUERIES = {
     "eval_relevance": eval_relevance,
     "eval_retrieval": eval_retrieval,
@@ -173,6 +180,7 @@ QUERIES = {
     "eval_failures": eval_failures,
     "eval_generation": eval_generation,
     "refusals": refusals,
+    "case_selection": case_selection,
     "engineering_means": engineering_means,
     "case_costs": case_costs,
 }
@@ -289,6 +297,10 @@ graded AS (
 SELECT conv_id, turn, round(g, 6) AS faithfulness, round(g, 6) AS groundedness,
   round(CASE WHEN coalesce(expected, '') = '' THEN {overlap_sql("answer", "context")} ELSE {overlap_sql("answer", "expected")} END, 6) AS answer_relevance
 FROM graded""",
+    "case_selection": f"""WITH {RELEVANT}
+SELECT item_id AS id, CASE WHEN n IS NULL THEN 'unanswerable' ELSE 'factual' END AS category
+FROM (SELECT item_id FROM (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 3) UNION ALL SELECT item_id FROM benchmark WHERE item_id = 7)
+LEFT JOIN n_rel ON n_rel.query_id = item_id""",
     "refusals": f"""SELECT conv_id, turn, ({REFUSED.format("a")}) AS refused
 FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN text || ' I Do Not Know.' ELSE text END AS a FROM conversations)""",
     "engineering_means": """WITH m AS (

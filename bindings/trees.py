@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bindings import base as B
 from bindings.chunks import CHILDREN
 from bindings.search import shown
+from gleaner.functions import vectors as V
 from gleaner.operators import chunking as C
 from gleaner.operators import embedding as E
 from gleaner.operators import kmeans as KM
@@ -33,6 +34,13 @@ def kmeans_assign(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("vec_id", "cluster", B.rounded("similarity").alias("similarity"))
 
 
+def vector_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector and the next one."""
+    left = B.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("a"))
+    right = left.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
+    return left.join(right, "vec_id").select("vec_id", B.rounded(V.cosine(F.col("a"), F.col("b"))).alias("cosine"))
+
+
 def kmeans_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return KM.spherical_kmeans(B.table(spark, sf, "embeddings"), 10, "vec_id").select("vec_id", "cluster")
 
@@ -101,6 +109,7 @@ def tree_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "vector_cosine": vector_cosine,
     "kmeans_update": kmeans_update,
     "kmeans_assign": kmeans_assign,
     "kmeans_corpus": kmeans_corpus,
@@ -128,6 +137,8 @@ parented AS (SELECT *, 'raptor_' || document_id || '_l1_' || {B.two_digits("g")}
 SUMMARY = "string_agg(section || ': ' || trim(text, E' \\n\\t'), ' ' ORDER BY chunk_no)"
 
 ORACLE = {
+    "vector_cosine": """SELECT l.vec_id, round(list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS cosine
+FROM embeddings l JOIN embeddings r ON r.vec_id = l.vec_id + 1""",
     "kmeans_update": f"WITH {CENTERS} SELECT cluster, pos, round(v, 6) AS v FROM centers",
     "kmeans_assign": f"""WITH {CENTERS},
 sims AS (SELECT vec_id, cluster, sum(x * v) AS s FROM units JOIN centers USING (pos) GROUP BY ALL)
