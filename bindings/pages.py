@@ -57,7 +57,42 @@ def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _derived(spark: SparkSession, sf: str) -> DataFrame:
+    """A page from every document, with what ``pages`` lacks: two levels of headings,
+    lists, a table, shortcodes, nbsp, empty nodes and a "jump to" list."""
+    body = F.translate("text", "&<>[]\u00a0", "      ")
+    html = F.concat(
+        F.lit('<p>[ad id="1"]Intro&nbsp;&nbsp; about '), "source", F.lit("</p><div>Jump to:</div>"),
+        F.lit('<ul><li><a href="#a">Alpha</a></li><li><a href="#c">Gamma</a></li></ul><h2>Alpha</h2><ul><li>one '),
+        F.col("doc_id").cast("string"), F.lit("</li><li> </li><li>two</li></ul><h3>Beta</h3>"),
+        F.lit("<table><tr><th>Key</th><th>Value</th></tr><tr><td>"), "lang", F.lit("</td><td>"),
+        F.col("n_chars").cast("string"), F.lit("</td></tr></table><p> </p><span></span><h2>Gamma</h2>"),
+        F.lit("<ol><li>first</li><li>second</li></ol><p>"), body, F.lit("</p>"),
+    )
+    return B.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("doc "), "doc_id").alias("title"), F.lit("").alias("slug"),
+        html.alias("html"), F.lit("article").alias("content_type"), B.null().alias("provider"), B.null().alias("url"),
+        B.null().alias("published_at"), B.null().alias("updated_at"), body.alias("body"),
+    )
+
+
+def page_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections of the derived pages; of Gamma the collapsed text."""
+    rows = P.normalize_posts(_derived(spark, sf)).select("id", F.posexplode("sections").alias("pos", "s"))
+    return rows.select("id", "pos", "s.heading", F.array_join("s.heading_path", " > ").alias("path"),
+                       F.md5(T.collapse_spaces(F.col("s.text"))).alias("text_md5"))
+
+
+def plain_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts without markup are split into paragraphs at blank lines."""
+    text = F.replace(F.translate("text", "&<>[]\u00a0", "      "), F.lit("\n"), F.lit("\n \n"))
+    rows = P.block_rows(B.table(spark, sf, "documents").select("doc_id", text.alias("html")))
+    return rows.select("doc_id", "pos", "kind", F.md5(T.collapse_spaces(F.col("text"))).alias("text_md5"))
+
+
 QUERIES = {
+    "page_rules": page_rules,
+    "plain_pages": plain_pages,
     "pages_clean": pages_clean,
     "page_blocks": page_blocks,
     "page_sections": page_sections,
@@ -131,3 +166,18 @@ texts AS (
 SELECT id AS document_id, row_number() OVER (PARTITION BY id ORDER BY pos, w) - 1 AS chunk_no, heading AS section,
   md5(text) AS text_md5, len({B.words_sql("text")}) AS n FROM texts""",
 }
+
+PLAIN = "trim(regexp_replace(translate({0}, '&<>[]' || chr(160), '      '), '\\s+', ' ', 'g'))"
+ORACLE["page_rules"] = f"""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, 'doc ' || doc_id AS title, *, {PLAIN.format("text")} AS body FROM documents)
+SELECT id, 0 AS pos, title AS heading, title AS path, md5('Intro about ' || source) AS text_md5 FROM d
+UNION ALL SELECT id, 1, 'Alpha', title || ' > Alpha', md5('- one ' || doc_id || ' - two') FROM d
+UNION ALL SELECT id, 2, 'Beta', title || ' > Alpha > Beta', md5('Key | Value ' || lang || ' | ' || n_chars) FROM d
+UNION ALL SELECT id, 3, 'Gamma', title || ' > Gamma', md5('1. first 2. second' || CASE WHEN body = '' THEN '' ELSE ' ' || body END) FROM d"""
+ORACLE["plain_pages"] = f"""
+WITH lines AS (
+  SELECT doc_id, i, {PLAIN.format("parts[i]")} AS t
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, 'paragraph' AS kind, md5(t) AS text_md5
+FROM lines WHERE t <> ''"""
