@@ -145,16 +145,16 @@ SELECT content_type || '_' || doc_id || '_doc_' || doc_id || '_' || {B.two_digit
        md5(parts[part_no + 1]) AS text_md5, len({B.words_sql("parts[part_no + 1]")}) AS n_tokens, '-' AS parent_id
 FROM parted JOIN docs USING (doc_id)"""
 
-STRUCTURE_LINES = f"""
-WITH RECURSIVE {B.DOCS}, {B.LINES},
+STRUCTURED = f"""
 sized AS (SELECT doc_id * 1000000 + line_no AS doc_id, line AS text, {B.words_sql("line")} AS ws FROM lines),
-{PACKED}
-SELECT content_type || '_' || l.doc_id || '_part_' || line_no || '_' || {B.two_digits("(part_no + 1)")} AS id,
-       CAST(l.doc_id AS VARCHAR) AS document_id,
-       row_number() OVER (PARTITION BY l.doc_id ORDER BY line_no, part_no) - 1 AS chunk_no, heading AS section,
-       title || ' > ' || heading AS path, md5(parts[part_no + 1]) AS text_md5,
-       len({B.words_sql("parts[part_no + 1]")}) AS n_tokens, '-' AS parent_id
-FROM parted p JOIN lines l ON p.doc_id = l.doc_id * 1000000 + l.line_no"""
+{PACKED},
+structured AS (
+  SELECT content_type || '_' || l.doc_id || '_part_' || line_no || '_' || {B.two_digits("(part_no + 1)")} AS id,
+         content_type, CAST(l.doc_id AS VARCHAR) AS document_id,
+         row_number() OVER (PARTITION BY l.doc_id ORDER BY line_no, part_no) - 1 AS chunk_no, provider, title,
+         heading AS section, title || ' > ' || heading AS path, parts[part_no + 1] AS text, '-' AS parent_id
+  FROM parted p JOIN lines l ON p.doc_id = l.doc_id * 1000000 + l.line_no
+)"""
 
 CHILDREN = f"""
 children_at AS (
@@ -207,11 +207,10 @@ ORACLE = {
     "chunk_fixed": f"WITH {B.DOCS}, {B.FIXED} SELECT id, document_id, chunk_no, section, section AS path, "
     f"md5(text) AS text_md5, len({B.words_sql('text')}) AS n_tokens, '-' AS parent_id FROM fixed",
     "chunk_structure_aware": STRUCTURE,
-    "chunk_structure_aware_lines": STRUCTURE_LINES,
+    "chunk_structure_aware_lines": f"WITH RECURSIVE {B.DOCS}, {B.LINES}, {STRUCTURED} SELECT {SHOWN} FROM structured",
     "chunk_parent_child": f"WITH {B.DOCS}, {B.LINES}, {CHILDREN} SELECT {SHOWN} FROM children",
     "chunk_parents": f"WITH {B.DOCS}, {B.LINES}, {PARENTS} SELECT {SHOWN} FROM parents",
-    "chunk_variants": f"""WITH RECURSIVE {B.DOCS}, {B.LINES}, {CHILDREN}, {B.FIXED},
-structured AS (SELECT * FROM ({STRUCTURE_LINES}))
+    "chunk_variants": f"""WITH RECURSIVE {B.DOCS}, {B.LINES}, {CHILDREN}, {B.FIXED}, {STRUCTURED}
 SELECT 'parent_child' AS variant, document_id, count(*) AS chunks FROM children GROUP BY document_id
 UNION ALL SELECT 'fixed_size', document_id, count(*) FROM fixed GROUP BY document_id
 UNION ALL SELECT 'structure_aware', document_id, count(*) FROM structured GROUP BY document_id""",

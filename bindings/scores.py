@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bindings import base as B
+from bindings.chunks import CHILDREN, DIMS, STRUCTURED
 from bindings.questions import PASSAGE, SENTENCE
 from bindings.search import DENSE, HASHED, LEX, fused_sql, sparse, stored
 from gleaner.operators import answers as A
 from gleaner.operators import contains
 from gleaner.operators import evaluation as EV
 from gleaner.plans import comparison as CO
-from gleaner.plans.retrieval import strategy_hits
+from gleaner.operators.embedding import hashing_embedder
+from gleaner.plans.retrieval import chunker_retrievers, strategy_hits
 
 
 def relevant(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,6 +86,13 @@ def eval_by_category(spark: SparkSession, sf: str) -> DataFrame:
     return shown(by_category, "variant", "category")
 
 
+def eval_chunkers(spark: SparkSession, sf: str) -> DataFrame:
+    """The three chunkers side by side, each with a collection of its own."""
+    searches = chunker_retrievers(B.lined_documents(spark, sf), hashing_embedder(DIMS))
+    results = CO.run_cases(cases(spark, sf), searches, generate=None)
+    return shown(EV.category_report(results, "variant"), "variant", "category")
+
+
 def eval_failures(spark: SparkSession, sf: str) -> DataFrame:
     """A generator that fails for some questions: their retrieval scores stay."""
     near, lexical = stored(spark, sf)
@@ -177,6 +188,7 @@ QUERIES = {
     "eval_means": eval_means,
     "eval_compare": eval_compare,
     "eval_by_category": eval_by_category,
+    "eval_chunkers": eval_chunkers,
     "eval_failures": eval_failures,
     "eval_generation": eval_generation,
     "refusals": refusals,
@@ -265,6 +277,13 @@ final AS (
   FROM answered
 )"""
 
+def _collection(corpus: str, prefix: str) -> str:
+    """Dense search over one corpus, ending in ``{prefix}top``."""
+    sql = re.sub(r"\bfixed\b", corpus, f"{HASHED}, {DENSE}")
+    sql = re.sub(r"\b(bucketed|hashed|qbuckets|qhashed|qnorm|pnorm|dots)\b", rf"{prefix}\1", sql)
+    return f"{sql}, {B.ranked_sql(f'{prefix}dots', 5, f'{prefix}top')}"
+
+
 ORACLE = {
     "eval_relevance": f"WITH {RELEVANT} SELECT query_id, document_id FROM relevant",
     "eval_retrieval": f"""{HEAD}, {TOP}, {scores_sql({"sparse": "top"})}
@@ -273,6 +292,10 @@ SELECT query_id, round(precision_at_k, 6) AS precision_at_k, round(reciprocal_ra
     "eval_means": f"{HEAD}, {TOP}, {scores_sql({'sparse': 'top'})} SELECT {MEANS} FROM case_scores",
     "eval_by_category": f"""{COMPARED}
 SELECT variant, CASE WHEN n = 0 THEN 'unanswerable' ELSE 'factual' END AS category, {MEANS} FROM final GROUP BY ALL""",
+    "eval_chunkers": f"""WITH RECURSIVE {B.DOCS}, {B.LINES}, {B.QUESTIONS}, {B.FIXED}, {CHILDREN}, {STRUCTURED},
+{_collection("fixed", "f_")}, {_collection("structured", "s_")}, {_collection("children", "c_")},
+{scores_sql({"fixed_size": "f_top", "structure_aware": "s_top", "parent_child": "c_top"})}
+SELECT variant, CASE WHEN n = 0 THEN 'unanswerable' ELSE 'factual' END AS category, {MEANS} FROM case_scores GROUP BY ALL""",
     "eval_failures": f"""{HEAD}, {TOP}, {scores_sql({"sparse": "top"})}
 SELECT query_id, CASE WHEN len(query) % 3 = 0 THEN 'no model' ELSE '-' END AS error, round(precision_at_k, 6) AS precision_at_k,
   round(reciprocal_rank, 6) AS reciprocal_rank, CASE WHEN len(query) % 3 = 0 THEN 0 ELSE round(precision_at_k, 6) END AS context_precision,

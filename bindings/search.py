@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindings import base as B
-from bindings.chunks import CHILDREN, DIMS, HASHED, PARENTS
+from bindings.chunks import CHILDREN, DIMS, HASHED, PARENTS, STRUCTURED
 from gleaner.functions import text as T
 from gleaner.operators import chunking as C
 from gleaner.operators import dense as D
@@ -160,6 +160,7 @@ def variant_compare(spark: SparkSession, sf: str) -> DataFrame:
         {
             "fixed_size": sparse(spark, sf)(asked),
             "parent_child": L.retriever(C.child_chunks(docs))(asked),
+            "structure_aware": L.retriever(C.structure_aware_chunks(docs))(asked),
         }
     )
     return variants.select(
@@ -327,13 +328,17 @@ firsts AS (
 )
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY r0) AS rank, p.id, round(score, 6) AS score
 FROM firsts JOIN parents p ON p.id = firsts.parent_id""",
-    "chunk_variant_compare": f"""{LINE_HEAD}, {B.FIXED}, {B.bm25_sql()}, {B.ranked_sql("scored", 5, "top")},
+    "chunk_variant_compare": f"""{LINE_HEAD.replace("WITH", "WITH RECURSIVE", 1)}, {B.FIXED}, {STRUCTURED}, {B.bm25_sql()},
+{B.bm25_sql("structured", prefix="s_").replace("FROM qt ", "FROM s_qt ")}, {B.ranked_sql("s_scored", 5, "s_top")}, {B.ranked_sql("scored", 5, "top")},
 {B.bm25_sql("children", prefix="c_").replace("FROM qt ", "FROM c_qt ")}, {B.ranked_sql("c_scored", 5, "c_top")}
 SELECT 'fixed_size' AS variant, query_id, rank, f.id, document_id, title, section, '-' AS parent_id, round(score, 6) AS score
 FROM top JOIN fixed f USING (content_type, document_id, chunk_no)
 UNION ALL
 SELECT 'parent_child', query_id, rank, f.id, document_id, title, section, parent_id, round(score, 6)
-FROM c_top JOIN children f USING (content_type, document_id, chunk_no)""",
+FROM c_top JOIN children f USING (content_type, document_id, chunk_no)
+UNION ALL
+SELECT 'structure_aware', query_id, rank, f.id, document_id, title, section, '-', round(score, 6)
+FROM s_top JOIN structured f USING (content_type, document_id, chunk_no)""",
     "multi_query_fusion": f"""{HEAD},
 subs AS (
   SELECT query_id AS qid, query_id * 1000 + i AS query_id, i AS list_no, len(ls) AS n, ls[i] AS query

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators import chunking as C
+from gleaner.operators import dense as D
 from gleaner.operators import fusion as FU
 from gleaner.operators import ranking as R
 from gleaner.operators import rerank as RR
+from gleaner.operators.embedding import Embedder, embed_chunks
 from gleaner.operators.fusion import Retriever
+from gleaner.operators.parents import parent_expanding_retriever
 from gleaner.schemas import SECTION_HINT
 from gleaner.session import cut_lineage
 
@@ -19,6 +23,18 @@ def strategies(dense: Retriever, sparse: Retriever, rerank: RR.Reranker = RR.lex
     return {"dense": dense, "sparse": sparse, "hybrid": hybrid, "rerank": RR.rerank_retriever(hybrid, rerank)}
 
 
+def chunker_retrievers(documents: DataFrame, embed: Embedder) -> dict[str, Retriever]:
+    """Dense search over one collection per chunker, to compare them. Hits of the
+    parent_child collection become their parent sections."""
+    searches = {}
+    for name, chunker in C.CHUNKERS.items():
+        search = D.retriever(cut_lineage(embed_chunks(chunker(documents), embed)), embed)
+        if name == "parent_child":
+            search = parent_expanding_retriever(search, cut_lineage(C.parent_chunks(documents)))
+        searches[name] = search
+    return searches
+
+
 def strategy_hits(
     queries: DataFrame,
     dense: Retriever,
