@@ -228,7 +228,8 @@ def test_suffix_dedup_query(spark, fixture_dir):
     assert Counter(tuple(r) for r in QUERIES["op10_suffix_dedup"](spark, fixture_dir).collect()) == want
 
 
-def test_suffix_dedup_bytes(spark):
+@pytest.mark.parametrize("hot_segments", [suffix_dedup.HOT_SEGMENTS, 4, 0])
+def test_suffix_dedup_bytes(spark, hot_segments):
     rng = np.random.default_rng(4)
     letters = np.array(list("abc é"))
     passage = ["".join(rng.choice(letters, 160)) for _ in range(4)]
@@ -238,7 +239,8 @@ def test_suffix_dedup_bytes(spark):
         rows.append((i, "".join(rng.choice(letters, rng.integers(0, 200))) + part + "".join(rng.choice(letters, 60))))
     rows += [(100, "a" * 500), (101, "ab" * 200), (102, "aab" * 99 + "c"), (103, "x" * 100 + "y" * 100 + "x" * 100), (104, "z" * 99)]
     known = brute_dedup(rows)
-    out = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = suffix_dedup.dedup(frame, hot_segments=hot_segments).collect()
     for r in out:
         text = dict(rows)[r.doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == known[r.doc_id, text]
