@@ -17,7 +17,7 @@ def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False)
     reader = spark.read.schema(schema).option("mode", "FAILFAST")
     if lines:
         return reader.json(path)
-    whole = spark.read.option("wholetext", True).text(path).select(F.btrim("value", F.lit(" \t\r\n")).alias("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.btrim("value", F.lit(" \t\r\n")).alias("value"))
     # In brackets of its own, such a file is a list of one element.
     alone = F.json_array_length(F.concat(F.lit("["), "value", F.lit("]"))) == 1
     array = F.coalesce(F.startswith("value", F.lit("[")) & alone, F.lit(False))
