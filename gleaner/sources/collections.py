@@ -1,8 +1,12 @@
 """Keyed collections of embedded chunks as partitioned parquet tables.
 
-A collection is a folder with ``meta`` (one row: width, buckets) and
-``points``, partitioned by a hash bucket of the point id. An upsert rewrites
-only the buckets it touches, by dynamic partition overwrite.
+A collection is a folder with ``meta`` (one row: width, buckets), ``points``,
+partitioned by a hash bucket of the point id, and ``deltas``, one folder per
+upsert since the points were last rewritten. A small batch of points has ids in
+every bucket, so an upsert only adds its delta; readers put the latest version
+of a point before the stored one. Once the deltas hold more than
+``COMPACT_SHARE`` of the points, they are merged into them. So a point is
+rewritten a bounded number of times on average, however small the batches.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from gleaner.session import cut_lineage
 # prefix of an existing store to keep its ids.
 ID_PREFIX = "chunk:"
 BUCKETS = 64
+COMPACT_SHARE = 0.25
 
 PAYLOAD = CHUNK.replace(" id string", " chunk_id string")
 POINT = f"point_id string, embedding array<float>, {PAYLOAD}"
@@ -71,10 +76,27 @@ def describe(spark: SparkSession, path: str) -> tuple[int, int]:
 
 
 def read_points(spark: SparkSession, path: str, schema: str = POINT) -> DataFrame:
-    """All points. Filters on the bucket prune folders, others use parquet statistics."""
-    if not _exists(spark, f"{path}/points"):
-        return spark.createDataFrame([], f"{schema}, bucket int")
-    return spark.read.schema(f"{schema}, bucket int").parquet(f"{path}/points")
+    """All points, in their latest version. Filters on the bucket prune folders of
+    the stored points, others use parquet statistics."""
+    stored, deltas = _stored(spark, path, schema), _deltas(spark, path, schema)
+    if stored is None:
+        stored = spark.createDataFrame([], f"{schema}, bucket int")
+    if deltas is None:
+        return stored
+    latest = latest_per_point(deltas, ["seq"]).drop("copies", "seq")
+    return merge(stored, latest.select(*stored.columns))
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    found = _exists(spark, f"{path}/points")
+    return spark.read.schema(f"{schema}, bucket int").parquet(f"{path}/points") if found else None
+
+
+def _deltas(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The upserts since the last compaction, numbered by ``seq``."""
+    if not _exists(spark, f"{path}/deltas"):
+        return None
+    return spark.read.schema(f"{schema}, bucket int, seq int").parquet(f"{path}/deltas")
 
 
 def latest_per_point(points: DataFrame, order: list[str]) -> DataFrame:
@@ -105,17 +127,38 @@ def upsert(points: DataFrame, path: str, order: list[str], schema: str = POINT)
     # Materialized once: the vectors are costly and the rows are needed three times.
     staged = cut_lineage(latest_per_point(taken, order).withColumn("bucket", bucket))
     incoming = staged.drop("copies")
-    touched = incoming.select("bucket").distinct()  # at most ``buckets`` rows
-    existing = read_points(spark, path, schema).join(F.broadcast(touched), "bucket", "left_semi")
-    merged = merge(existing, incoming.select(*existing.columns))
+    stored, deltas = _stored(spark, path, schema), _deltas(spark, path, schema)
+    if stored is None:
+        _write_buckets(incoming, path)
+    else:
+        last = None if deltas is None else deltas.agg(F.max("seq")).first()[0]
+        delta = incoming.withColumn("seq", F.lit(0 if last is None else last + 1))
+        delta.write.mode("append").partitionBy("seq").parquet(f"{path}/deltas")
+        waiting = _deltas(spark, path, schema).count()
+        if waiting > COMPACT_SHARE * stored.count():
+            compact(spark, path, schema)
+    return staged.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+
+
+def _write_buckets(points: DataFrame, path: str) -> None:
+    """Replace the buckets that occur in ``points``."""
     (
-        merged.hint("rebalance", "bucket")
+        points.hint("rebalance", "bucket")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")
         .parquet(f"{path}/points")
     )
-    return staged.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+
+
+def compact(spark: SparkSession, path: str, schema: str = POINT) -> None:
+    """Merge the deltas into the points. If that is cut off half-way, the deltas
+    are still there and say the same."""
+    if _deltas(spark, path, schema) is None:
+        return
+    _write_buckets(cut_lineage(read_points(spark, path, schema)), path)
+    nothing = spark.createDataFrame([], f"{schema}, bucket int, seq int")
+    nothing.write.mode("overwrite").partitionBy("seq").parquet(f"{path}/deltas")
 
 
 def copy_collections(spark: SparkSession, names: list[str], source: str, target: str, order: list[str]) -> dict[str, int]:

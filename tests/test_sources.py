@@ -147,3 +147,31 @@ def test_cases(spark, tmp_path):
     path.write_text(json.dumps([{"id": "a", "question": "q", "expected_documents": [], "category": "gossip"}]))
     with pytest.raises(Exception, match="unknown category"):
         tables.read_cases(spark, str(path)).collect()
+
+
+def test_small_batches_leave_the_points_alone(spark, tmp_path):
+    path = str(tmp_path / "c")
+
+    def points(ids, text):
+        rows = [(f"p{i}", [1.0], "article", "d", i, f"c{i}", None, "t", "s", ["s"], f"{text}{i}", None, None, None) for i in ids]
+        return spark.createDataFrame(rows, K.POINT)
+
+    def files():
+        return {f: f.stat().st_mtime_ns for f in (tmp_path / "c" / "points").rglob("*.parquet")}
+
+    def texts():
+        return {r.point_id: r.text for r in K.read_points(spark, path).collect()}
+
+    K.ensure_collection(spark, path, 1, buckets=4)
+    K.upsert(points(range(40), "a"), path, ["text"])
+    before, want = files(), {f"p{i}": f"a{i}" for i in range(40)}
+    for batch, ids in (("b", [1, 2]), ("c", [2, 50]), ("c", [2, 50])):
+        assert K.upsert(points(ids, batch), path, ["text"]) == 2
+        want |= {f"p{i}": f"{batch}{i}" for i in ids}
+        assert files() == before and texts() == want
+    K.upsert(points(range(8), "d"), path, ["text"])  # now the deltas are merged
+    want |= {f"p{i}": f"d{i}" for i in range(8)}
+    assert files() != before and texts() == want
+    assert not list((tmp_path / "c" / "deltas").rglob("*.parquet"))
+    K.upsert(points([3], "e"), path, ["text"])
+    assert texts() == want | {"p3": "e3"}
