@@ -8,8 +8,8 @@ what stays free ("norm"), or with the largest weighted dot product of the
 demand and what is free ("dot"). Else it opens a new one.
 
 Texts are tokenized and packed where they are read: a task packs its pieces in
-blocks of ``BLOCK`` and nothing is shuffled. A block leaves at most one sequence
-half empty besides what packing all at once would leave. Sequence ids are the
+blocks of ``BLOCK`` and nothing is shuffled. Blocks are packed apart, so each may
+leave sequences partly empty that another could have filled. Sequence ids are the
 partition and a count, so a task that runs again gives the same ids.
 
 Null and empty texts are documents of the end token alone. Documents of more
