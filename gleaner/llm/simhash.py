@@ -8,10 +8,16 @@ segments, and asks there under all that the chains allow these to be. Where
 they meet, the next chains are checked before the full distance is.
 
 ``CONTRACT`` links at 4 bits: 5 segments, filed under two, of which the first
-must be equal and the second differs in at most one bit. ``COPIES`` links at 12
-bits (a similarity of 0.8 and more), filed under the first of 7 segments; as
-unrelated fingerprints come that close too, a second fingerprint from other
-bits of hashes has to confirm: at most 25 of both together differ.
+must be equal and the second differs in at most one bit. ``COPIES`` finds
+candidates only: 13 bits, filed under the first of 7 segments, and a second
+fingerprint from other bits of hashes has to come close too, at most 32 of both
+together. Each of the two is filed in turn, so a pair is lost only if both miss.
+
+Fingerprints don't decide which documents ``one_of_each`` removes. Texts that
+candidates join are compared by their sets of shingles, and link at a Jaccard
+similarity of 4/5 or more, computed exactly. Large sets of candidates are compared
+block by block of about ``BLOCK`` texts. Links still chain: a removed document is
+that similar to one of its component, not always to the one that stays.
 
 Only distinct fingerprints are compared, so copies cost nothing. Where many meet
 under one key and most of them link, each reaches its links by a search that
@@ -19,11 +25,12 @@ visits it once; links come out as trees, never as all pairs of a group.
 Components are joined from these by rounds of minima over stored tables.
 
 The comparisons under a key grow with the square of the distinct fingerprints
-over the number of keys: 2^26 for ``CONTRACT``, 2^9 for ``COPIES``.
+over the number of keys: 2^26 for ``CONTRACT``, 2^9, twice, for ``COPIES``.
 
 Null and empty texts, and texts without a word, have the fingerprint zero, linked
 like any other. Rows with equal or null ids count as rows; a component of rows
-that all have null ids has a null id. An empty table gives an empty result;
+that all have null ids has a null id. ``one_of_each`` takes texts without a word as
+copies of each other. An empty table gives an empty result;
 further columns are ignored, or kept by ``one_of_each``.
 """
 
@@ -50,6 +57,10 @@ TEXTS = 512
 FILED_AT_ONCE = 4_096
 PAIRS_AT_ONCE = 2_000_000
 SMALL_GROUP = 16_384
+SIMILAR = (4, 5)  # least Jaccard similarity of copies, as a fraction
+BLOCK = 128
+SET_BYTES_PER_BUCKET = 8 << 20
+COLUMNS_AT_ONCE = 8_192
 DENSE = 64  # links per filed fingerprint from which a group is searched
 
 
@@ -92,7 +103,7 @@ class Scheme:
 
 
 CONTRACT = Scheme(limit=4, segments=5, depth=2)
-COPIES = Scheme(limit=12, segments=7, depth=1, confirm=25)
+COPIES = Scheme(limit=13, segments=7, depth=1, confirm=32)
 
 
 def hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -123,12 +134,15 @@ def fingerprint(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, into: str = "fp",
-                 confirm: str | None = None) -> DataFrame:
+                 confirm: str | None = None, of_set: str | None = None) -> DataFrame:
     """``docs`` with ``into``, the fingerprint as a signed 64-bit number, and, if
     named, a second one from the hashes mixed once more. Both are then of the
     distinct shingles: a line or word that fills two otherwise different texts
-    doesn't make them copies."""
-    names = [into, *([confirm] if confirm else [])]
+    doesn't make them copies. ``of_set``, only with the second, is a hash of the
+    distinct shingles."""
+    from xxhash import xxh64_intdigest
+
+    names = [into, *([confirm] if confirm else []), *([of_set] if of_set else [])]
     schema = StructType(list(docs.schema))
     for name in names:
         schema = schema.add(name, "long")
@@ -138,10 +152,11 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, in
         if confirm:
             h = np.unique(h)
         found = [fingerprint(h)]
+        whole = [xxh64_intdigest(h.tobytes(), SEED)] if of_set else []
         if confirm:
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
             found.append(fingerprint(h ^ (h >> np.uint64(29))))
-        return found
+        return found + whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -404,12 +419,95 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     )
 
 
+def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of distinct values with a Jaccard similarity of ``SIMILAR`` or more."""
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    of = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    column, of = (np.cumsum(shared) - 1)[column[shared[column]]], of[shared[column]]
+    order = np.argsort(column, kind="stable")
+    column, of = column[order], of[order]
+    both = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    for at in range(0, int(shared.sum()), COLUMNS_AT_ONCE):
+        a, b = np.searchsorted(column, [at, at + COLUMNS_AT_ONCE])
+        has = np.zeros((len(sets), min(COLUMNS_AT_ONCE, int(column[b - 1]) - at + 1)), dtype=np.float32)
+        has[of[a:b], column[a:b] - at] = 1
+        both += (has @ has.T).astype(np.int64)
+    either = size[:, None] + size[None, :] - both
+    return np.nonzero(np.triu(both * SIMILAR[1] >= either * SIMILAR[0], 1))
+
+
+def candidates(distinct: DataFrame, scheme: Scheme) -> DataFrame:
+    """``node, root`` of the texts ``distinct(id, fp, fp2)`` that either fingerprint
+    joins to others. Equal fingerprints join as well."""
+    buckets = max(1, math.ceil(distinct.count() * scheme.entries() / ENTRIES_PER_BUCKET))
+    edges = None
+    for one, other in (("fp", "fp2"), ("fp2", "fp")):
+        prints = distinct.select(F.col(one).alias("fp"), F.col(other).alias("fp2")).distinct()
+        first = stored(distinct.groupBy(F.col(one).alias("fp")).agg(F.min("id").alias("first")), "first")
+        a, b = (first.select(F.col("fp").alias(x), F.col("first").alias(f"of_{x}")) for x in "ab")
+        near = links(prints, scheme, buckets).join(a, "a").join(b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        equal = distinct.join(first, distinct[one] == first["fp"]).select(F.col("id").alias("a"), F.col("first").alias("b"))
+        edges = near.union(equal) if edges is None else edges.union(near).union(equal)
+    return components(edges)
+
+
+def copies(texts: DataFrame, roots: DataFrame, shingle: int, block: int = BLOCK) -> DataFrame:
+    """``a, b``: links between the texts ``texts(id, text)`` of one root of
+    ``roots(node, root)`` that join all whose shingles are similar enough."""
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    member = roots.join(sizes, "root").select(F.col("node").alias("id"), "root", blocks.alias("blocks"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                part = whole.slice(at, TEXTS)
+                found = [np.unique(hashes(t, shingle)).tobytes() for t in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.binary())], ["id", "root", "blocks", "hashes"])
+
+    joined = texts.join(member, "id").select("id", "root", "blocks", "text")
+    own = stored(joined.mapInArrow(sets, "id long, root long, blocks int, hashes binary"), "shingles")
+    total = own.agg(F.sum((F.length("hashes") + 64).cast("long") * F.col("blocks"))).first()[0] or 0
+    buckets = max(1, math.ceil(total / SET_BYTES_PER_BUCKET))
+    # Every block meets every other of its root, and itself, in one row group each.
+    at = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed = own.withColumn("at", at).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = placed.select("id", "root", F.least("at", "with").alias("low"), F.greatest("at", "with").alias("high"), "hashes")
+    spread = pair.withColumn("bucket", F.pmod(F.xxhash64("root", "low", "high"), F.lit(buckets)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        id_, root, low, high = (table.column(c).to_numpy() for c in ("id", "root", "low", "high"))
+        order = np.lexsort((id_, high, low, root))
+        held = table.column("hashes").to_pylist()
+        key = np.stack([root, low, high])[:, order]
+        begin = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+        none = np.empty(0, dtype=np.int64)
+        lefts, rights = [none], [none]
+        for group in np.split(order, begin[1:]):
+            if len(group) > 1:
+                a, b = similar([np.frombuffer(held[i], dtype=np.uint64) for i in group])
+                lefts.append(id_[group[a]]), rights.append(id_[group[b]])
+        a, b = forest(np.concatenate(lefts), np.concatenate(rights))
+        return pa.table({"a": a, "b": b})
+
+    return spread.groupBy("bucket").applyInArrow(compare, "a long, b long")
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                 scheme: Scheme = COPIES) -> DataFrame:
     """``docs`` without the near-duplicates: of every component the row with the
     smallest key stays, null keys last; of equal keys one row."""
     base = prefixed(docs).withColumn("row", F.monotonically_increasing_id())
-    base = stored(fingerprints(base, f"d_{text}", shingle, "fp", "fp2"), "fingerprinted")
+    base = stored(fingerprints(base, f"d_{text}", shingle, "fp", "fp2", "id"), "fingerprinted")
     least = F.struct(F.col(f"d_{key}").isNull().alias("none"), F.col(f"d_{key}").alias("key"), F.col("row").alias("row"))
-    kept = grouped(base, least, scheme).select(F.col("least.row").alias("row")).distinct()
+    distinct = base.groupBy("id").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min(least).alias("own"))
+    distinct = stored(distinct, "fingerprints")
+    roots = stored(candidates(distinct, scheme), "candidates")
+    shown = distinct.join(roots, distinct["id"] == roots["node"], "left_semi").select(F.col("own.row").alias("row"))
+    texts = base.join(shown, "row", "left_semi").select("id", F.col(f"d_{text}").alias("text"))
+    linked_ = components(copies(texts, roots, shingle)).withColumnRenamed("node", "id")
+    rooted = distinct.join(linked_, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    kept = rooted.groupBy("root").agg(F.min("own").alias("least")).select(F.col("least.row").alias("row"))
     return restored(base.join(kept, "row", "left_semi"), docs.columns)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gleaner.llm import ann, sharding, simhash, suffix_dedup
 from gleaner.llm.queries import QUERIES
@@ -111,6 +112,34 @@ def test_one_document_of_each_group(spark, fixture_dir):
     assert sum(i in ids for i in range(60)) == 60
 
 
+def test_only_similar_documents_are_removed(spark):
+    """Fingerprints this close used to link; shingles decide, at any size of block."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(400)]
+    texts = {}
+    for family, changes in ((0, 12), (1, 4)):  # similarities of about 0.59 and 0.83 between revisions
+        for i in range(40):
+            own = [f"f{family}{w}" for w in base]
+            for at in rng.choice(80, changes, replace=False):
+                own[5 * at + 2] = f"new{family}x{i}x{at}"
+            texts[100 * family + i] = " ".join(own)
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(396)} for d, t in texts.items()}
+    parent = {d: d for d in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((parent[a], parent[b]))
+                parent = {d: low if p == high else p for d, p in parent.items()}
+    want = sorted(set(parent.values()))
+    assert 40 <= len(want) <= 60
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs, shingle=5).collect()) == want
+    ids = docs.select(F.col("doc_id").alias("id"), "text")
+    roots = docs.select(F.col("doc_id").alias("node"), F.floor(F.col("doc_id") / 100).cast("long").alias("root"))
+    joined = {r.node: r.root for r in simhash.components(simhash.copies(ids, roots, 5, block=7)).collect()}
+    assert {d: joined.get(d, d) for d in texts} == parent
+
+
 # --- shards ------------------------------------------------------------------------------
 
 
