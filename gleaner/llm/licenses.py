@@ -31,9 +31,11 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-# keyword, label, and the names a license goes by, as patterns over words
+# keyword that each of the names contains, label, and the names a license goes by, as patterns over words
 FAMILIES = (
-    ("mit", "mit", ("mit", "expat", "x11")),
+    (" mit", "mit", ("mit",)),
+    ("expat", "mit", ("expat",)),
+    ("x11", "mit", ("x11",)),
     ("apache", "apache-2", ("apache (?:software )?(?:license )?(?:version |v)?2(?: 0)?", "apache2")),
     ("apache", "apache-1.1", ("apache (?:software )?(?:license )?(?:version |v)?1 1",)),
     ("bsd", "bsd-2-clause", ("bsd 2 clause", "simplified bsd", "freebsd")),
@@ -63,10 +65,14 @@ FAMILIES = (
     ("unlicense", "unlicense", ("unlicense",)),
     ("wtfpl", "wtfpl", ("wtfpl",)),
     ("postgresql", "postgresql", ("postgresql",)),
-    ("python", "psf-2", ("python software foundation", "psf")),
-    ("ofl", "ofl-1.1", ("sil open font", "ofl(?: 1 1)?")),
-    ("european union", "eupl-1.2", ("european union public", "eupl(?: (?:version |v)?1 2)?")),
-    ("microsoft", "ms-pl", ("microsoft public", "ms pl")),
+    ("python", "psf-2", ("python software foundation",)),
+    ("psf", "psf-2", ("psf",)),
+    ("sil open font", "ofl-1.1", ("sil open font",)),
+    ("ofl", "ofl-1.1", ("ofl(?: 1 1)?",)),
+    ("european union", "eupl-1.2", ("european union public",)),
+    ("eupl", "eupl-1.2", ("eupl(?: (?:version |v)?1 2)?",)),
+    ("microsoft", "ms-pl", ("microsoft public",)),
+    ("ms pl", "ms-pl", ("ms pl",)),
     ("cc0", "cc0", ("cc0(?: 1 0)?(?: universal)?",)),
     ("cc by", "cc-by", ("cc by(?: [1-4] [0-9])?",)),
     ("cc by sa", "cc-by-sa", ("cc by sa(?: [1-4] [0-9])?",)),
@@ -163,6 +169,10 @@ def _by_family() -> dict[str, list[tuple[int, Rule]]]:
     return out
 
 
+# A word of every keyword; a keyword's leading blank only keeps it from the middle of words.
+PREFILTER = "|".join(sorted({g.split()[0] for g in _by_family()}))
+
+
 def _family(words: Column, members: list[tuple[int, Rule]]) -> Column:
     """Detections of the rules that share a keyword; a literal array of rules
     keeps the plan as small as one rule."""
@@ -202,12 +212,11 @@ def scan(docs: DataFrame, text: str = "text", into: str = "licenses") -> DataFra
     found = own_column(docs, "found")
     families = _by_family()
     w = F.col(words)
-    gates = [f" {g}" if g == "mit" else g for g in families]
     hits = F.concat(*[
         F.when(w.contains(gate), _family(w, members)).otherwise(F.array().cast(FOUND))
-        for gate, (_, members) in zip(gates, families.items(), strict=True)
+        for gate, members in families.items()
     ])
-    anything = w.rlike("|".join(sorted({g.split()[0] for g in families})))
+    anything = w.rlike(PREFILTER)
     ordered = F.array_sort(_kept(F.col(found)), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
                            .otherwise(a["ord"] - b["ord"]))
     n = F.when(w == "  ", 0).otherwise(blanks(w) - 1).cast("long")

@@ -115,6 +115,37 @@ def test_license_rules():
         re.compile(rule.pattern)
 
 
+def matches_of(parsed) -> list[str]:
+    """Texts that a pattern matches: every choice and every optional part, with and without."""
+    out = [""]
+    for op, value in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            ends = [chr(value)]
+        elif kind == "ANY":
+            ends = ["x"]
+        elif kind == "IN":
+            ends = [chr(v if str(o) == "LITERAL" else v[0]) for o, v in value]
+        elif kind == "SUBPATTERN":
+            ends = matches_of(value[3])
+        elif kind == "BRANCH":
+            ends = [m for branch in value[1] for m in matches_of(branch)]
+        else:
+            low, high, inner = value
+            assert kind in ("MAX_REPEAT", "MIN_REPEAT")
+            ends = [m * n for n in {low, min(high, low + 1)} for m in matches_of(inner)]
+        out = [a + b for a in out for b in ends]
+    return out
+
+
+@pytest.mark.parametrize("rule", licenses.rules(), ids=lambda r: r.pattern)
+def test_license_gates_pass_every_match(rule):
+    for text in matches_of(re._parser.parse(rule.pattern)):
+        words_ = f" {text} "
+        assert re.search(f"(?<= )(?:{rule.pattern})(?= )", words_)
+        assert rule.gate in words_ and rule.literal in words_ and re.search(licenses.PREFILTER, words_)
+
+
 @pytest.mark.parametrize(
     ("text", "label"),
     [
@@ -122,6 +153,12 @@ def test_license_rules():
         ("Permission is hereby granted, free of charge, to any person", "mit"),
         ("Licensed under the Mozilla Public License, version 2.0", "mpl-2"),
         ("the gnu lesser general public license", "lgpl"),
+        ("Released under the Expat license", "mit"),
+        ("licensed under the X11 license", "mit"),
+        ("the PSF license", "psf-2"),
+        ("under the terms of the SIL Open Font license", "ofl-1.1"),
+        ("the EUPL-1.2 license", "eupl-1.2"),
+        ("SPDX-License-Identifier: MS-PL", "ms-pl"),
         ("this is mitigated by general publication", ""),
     ],
 )
