@@ -41,6 +41,7 @@ MAX_LISTS = 4_096
 PROBE_SHARE = 0.65
 COLUMNS = 16
 EPSILON = 2.1
+SLACK = 1e-9  # of squared distances, for rounding
 BLOCK_QUERIES = 4_096
 ROWS_AT_ONCE = 2_048
 SEED = 5
@@ -121,7 +122,8 @@ def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", li
 def scan_list(x: np.ndarray, q: np.ndarray, kth: np.ndarray, columns: int = COLUMNS,
               epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row of x, row of q) that no test has abandoned. ``kth`` holds the
-    squared distance that each query has to beat."""
+    squared distance that each query has to beat. Every test leaves ties and
+    rounding to the exact score."""
     dim = x.shape[1]
     far = np.zeros((len(x), len(q)))
     open_ = np.ones(far.shape, dtype=bool)
@@ -138,9 +140,9 @@ def scan_list(x: np.ndarray, q: np.ndarray, kth: np.ndarray, columns: int = COLU
             bound = kth[j]
         if end < dim:
             limit = (1 + epsilon / math.sqrt(end)) ** 2
-            keep = far * (dim / end) <= limit * bound
+            keep = far * (dim / end) <= limit * bound + SLACK
         else:
-            keep = far <= bound + 1e-9  # ties and rounding are left to the exact score
+            keep = far <= bound + SLACK
         if i is None:
             open_ = keep
             if end == dim or keep.mean() < 0.25:  # few are left: go on pair by pair

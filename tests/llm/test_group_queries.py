@@ -213,6 +213,30 @@ def test_ann_query(spark, tmp_path):
         assert math.isclose(r.score, a @ b / math.sqrt(a @ a) / math.sqrt(b @ b), abs_tol=1e-12)
 
 
+def test_ann_keeps_copies_scanned_last(spark):
+    """Smaller ids of exact copies come in later batches; rounding must not abandon them."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((10, 64))
+    rows = [(i, base[i % 10].tolist()) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = ann.build(frame, lists=1)
+    last = ann.Index(index.rows.orderBy(F.desc("key")).coalesce(1), index.centers, index.turn)
+    asked = frame.filter("vec_id >= 5990")
+    got = {}
+    for r in sorted(ann.search(last, asked).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [q % 10 + 10 * j for j in range(5)] for q in range(5990, 6000)}
+
+
+def test_scan_keeps_exact_copies():
+    rng = np.random.default_rng(3)
+    turn = ann.rotation(64)
+    v = ann.unit(rng.standard_normal((400, 64)))
+    kth = 2 - 2 * (v * v).sum(axis=1)
+    i, j = ann.scan_list(np.concatenate([v @ turn, (v @ turn)[::-1]]), ann.unit(v) @ turn, kth)
+    assert {(a, a) for a in range(400)} | {(799 - a, a) for a in range(400)} <= set(zip(i.tolist(), j.tolist(), strict=True))
+
+
 def test_ann_with_few_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(frame, frame.filter("vec_id = 0")).collect()]
