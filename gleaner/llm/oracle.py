@@ -98,4 +98,41 @@ def personal_data() -> str:
     )
 
 
-ORACLE = {"op3_pii": personal_data(), "op7_decontamination": DECONTAMINATION, "op9_warc": WARC}
+# Prefixes are lists of turns; a node is the set of conversations with equal prefixes.
+PREFIX_TRIE = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS n,
+         {'r': coalesce(role, ''), 't': coalesce(text, '')} AS turn
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+own AS (SELECT conv_id, list(turn ORDER BY n) AS turns FROM t GROUP BY 1),
+crc AS (
+  SELECT conv_id, turns, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda acc, b: list_reduce(list_concat([xor(acc, b)], list_transform(range(8), lambda i: CAST(0 AS BIGINT))),
+      lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END)) AS c
+  FROM own
+),
+heads AS (SELECT conv_id, turns, xor(c, CAST(4294967295 AS BIGINT)) % 9 AS h FROM crc),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1 :]) AS turns
+  FROM heads a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5
+),
+p AS (SELECT conv_id, len(turns) AS size, d, turns[1:d] AS pre FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT d, pre, min(conv_id) AS conv_id, count(*) AS n_convs,
+         string_agg(CASE WHEN size = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends,
+         CASE WHEN d > 0 THEN strlen(any_value(pre[d].t)) ELSE 0 END AS bytes
+  FROM p GROUP BY d, pre
+),
+kids AS (SELECT d - 1 AS d, pre[1 : d - 1] AS pre, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+named AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, pre)),
+below AS (
+  SELECT a AS d, pre[1:a] AS pre, count_if(n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM named) GROUP BY ALL
+)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM named m JOIN below b ON b.d = m.d AND b.pre = m.pre LEFT JOIN nodes u ON u.d = m.d - 1 AND u.pre = m.pre[1 : m.d - 1]
+"""
+
+ORACLE = {"op3_pii": personal_data(), "op7_decontamination": DECONTAMINATION, "op9_warc": WARC, "op13_prefix_trie": PREFIX_TRIE}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import ann, decontam, langid, licenses, packing, pii, sharding, simhash, suffix_dedup, warc
+from gleaner.llm import (
+    ann, decontam, langid, licenses, packing, pii, prefix_trie, quality, sharding, simhash, suffix_dedup, warc, whitening,
+)
 from gleaner.llm.common import table
 from gleaner.llm.oracle import ORACLE  # noqa: F401
 
@@ -50,10 +52,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_language, op3_pii, op4_licenses, op5_ann, op6_simhash, op7_decontamination, op8_sharding,
-        op9_warc, op10_suffix_dedup,
+        op9_warc, op10_suffix_dedup, op11_quality, op12_whitening, op13_prefix_trie,
     )
 }
