@@ -267,20 +267,9 @@ def train(rows: DataFrame) -> Model | None:
         if fit.select("good").distinct().count() < 2:
             return None
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                at, value = features(batch.column(2)[i].as_py())
-                one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [one.column(0), one.column(1), pa.array([at.astype(np.int32)]), pa.array([value])],
-                    ["label", "weight", "at", "value"],
-                )
-
-    vector = F.udf(lambda at, value: Vectors.sparse(2 * BUCKETS, at, value), VectorUDT())
-    table = fit.select(F.col("good").cast("double").alias("label"), "weight", "text")
-    table = table.mapInArrow(hashed, "label double, weight double, at array<int>, value array<double>")
-    table = stored(table.select("label", "weight", vector("at", "value").alias("features")), "quality-features")
+    vector = F.udf(lambda text: Vectors.sparse(2 * BUCKETS, *features(text)), VectorUDT())
+    table = fit.select(F.col("good").cast("double").alias("label"), "weight", vector("text").alias("features"))
+    table = stored(table, "quality-features")
     found = LogisticRegression(maxIter=ROUNDS, regParam=PENALTY, standardization=False, weightCol="weight").fit(table)
     model = Model(np.round(found.coefficients.toArray(), DIGITS), round(float(found.intercept), DIGITS))
     packed = rows.sparkSession.sparkContext.broadcast((model.weights, model.bias))
@@ -300,8 +289,10 @@ def train(rows: DataFrame) -> Model | None:
 # --- scoring -----------------------------------------------------------------
 
 
-def judged(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``rules``: the counts, ``base_failed``, ``p_good`` and ``kept``; see ``own_column``."""
+def judged(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with a struct ``rules``: the counts, ``base_failed``, ``p_good`` and ``kept``;
+    see ``own_column`` for its name."""
+    keep = docs.columns if keep is None else keep
     packed = None if model is None else (model.weights, model.bias, model.slope, model.shift)
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
@@ -313,10 +304,11 @@ def judged(docs: DataFrame, model: Model | None, text: str = "text") -> DataFram
             columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(COUNTS))]
             p = pa.nulls(len(texts), pa.float64()) if own is None else pa.array(own.probability(margins(own, texts)))
             columns.append(p)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], [*keep, *names])
 
     names = [own_column(docs, c) for c in (*COUNTS, "p_good")]
-    schema = StructType(list(docs.schema))
+    schema = StructType([docs.schema[c] for c in keep])
     for name in names[:-1]:
         schema = schema.add(name, "long")
     found = docs.mapInArrow(run, schema.add(names[-1], "double"))
@@ -327,11 +319,11 @@ def judged(docs: DataFrame, model: Model | None, text: str = "text") -> DataFram
         failed.alias("base_failed"),
         (~failed & (F.coalesce(p, F.lit(1.0)) >= KEEP)).alias("kept"),
     )
-    return found.select(*docs.columns, rules.alias(own_column(docs, "rules")))
+    return found.select(*keep, rules.alias(own_column(docs, "rules")))
 
 
 def digest(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Train on the labelled documents, judge all."""
     model = train(sample(docs, labels, key, text))
-    rows = judged(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), model)
+    rows = judged(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), model, keep=["key"])
     return rows.select(F.col("key").alias(key), *[f"rules.{c}" for c in (*COUNTS, "base_failed", "kept", "p_good")])
