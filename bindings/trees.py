@@ -56,9 +56,7 @@ def leaves(spark: SparkSession, sf: str) -> DataFrame:
 
 def _assigned(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbours four by four instead of clustering, so that SQL can follow."""
-    return leaves(spark, sf).withColumns(
-        {"block": F.lit(0).cast("bigint"), "cluster": F.floor(F.col("ord") / 4).cast("int")}
-    )
+    return leaves(spark, sf).withColumn("cluster", F.floor(F.col("ord") / 4).cast("int"))
 
 
 def tree_level(spark: SparkSession, sf: str) -> DataFrame:
