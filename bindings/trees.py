@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindings import base as B
+from bindings import kmeans_sql as KQ
 from bindings.chunks import CHILDREN
 from bindings.search import shown
 from gleaner.functions import vectors as V
@@ -97,7 +98,19 @@ def tree(spark: SparkSession, sf: str) -> DataFrame:
     return TR.build_tree(embedded, embed)
 
 
+def listed(nodes: DataFrame) -> DataFrame:
+    """Nodes with their place in the tree and a digest of their text."""
+    return nodes.select(
+        "document_id", "level", "id", "parent_id", F.array_join("children", "|").alias("children"), F.md5("text").alias("text_md5")
+    )
+
+
 def tree_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of every document's tree."""
+    return listed(tree(spark, sf))
+
+
+def tree_sizes(spark: SparkSession, sf: str) -> DataFrame:
     rows = TR.tree_report(tree(spark, sf))
     return rows.select("document_id", "nodes", "leaves", "summaries")
 
@@ -118,6 +131,7 @@ QUERIES = {
     "tree_node_text": tree_node_text,
     "tree_collapse": tree_collapse,
     "tree_build": tree_build,
+    "tree_sizes": tree_sizes,
     "tree_search": tree_search,
 }
 
@@ -134,7 +148,14 @@ groups AS (SELECT *, CAST(floor(chunk_no / 4) AS BIGINT) AS g FROM children),
 parented AS (SELECT *, 'raptor_' || document_id || '_l1_' || {B.two_digits("g")} AS parent FROM groups)"""
 SUMMARY = "string_agg(section || ': ' || trim(text, E' \\n\\t'), ' ' ORDER BY chunk_no)"
 
+LEAVES = "leaves AS (SELECT document_id, chunk_no AS ord, id, section, title, provider, text, content_type FROM children)"
+TREE = f"WITH RECURSIVE {B.DOCS}, {B.LINES}, {CHILDREN}, {LEAVES}, {KQ.tree('t', 'leaves', DIMS)}"
+
 ORACLE = {
+    "kmeans_corpus": f"""WITH RECURSIVE corpus AS (SELECT 0 AS g, vec_id AS key, CAST(vec_id AS VARCHAR) AS name, embedding AS vector FROM embeddings),
+{KQ.clusters("c", "corpus", "10")} SELECT key AS vec_id, cluster FROM c_clusters""",
+    "tree_build": f"""{TREE} SELECT document_id, level, id, parent_id, array_to_string(children, '|') AS children, md5(text) AS text_md5 FROM t_nodes""",
+    "tree_sizes": f"""{TREE} SELECT document_id, count(*) AS nodes, count_if(level = 0) AS leaves, count_if(level > 0) AS summaries FROM t_nodes GROUP BY 1""",
     "vector_cosine": """SELECT l.vec_id, round(list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS cosine
 FROM embeddings l JOIN embeddings r ON r.vec_id = l.vec_id + 1""",
     "kmeans_update": f"WITH {CENTERS} SELECT cluster, pos, round(v, 6) AS v FROM centers",
