@@ -14,9 +14,13 @@ from gleaner.operators import chunking as C
 from gleaner.operators import embedding as E
 from gleaner.operators import kmeans as KM
 from gleaner.operators import tree as TR
-from gleaner.session import cut_lineage
+from gleaner.plans import trees as PT
+from gleaner.session import cut_lineage, new_folder
+from gleaner.sources import tables
 
 DIMS = 64
+# The documents that change in tree_incremental.
+CHANGED = "CAST(document_id AS BIGINT) % 333 = 7"
 
 
 def kmeans_update(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +120,50 @@ def tree_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_search(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(TR.tree_retriever(tree(spark, sf), E.hashing_embedder(DIMS))(B.questions(spark, sf)))
+    """All questions over stored trees; trees whose caps rule them out are not scanned."""
+    embed, root = E.hashing_embedder(DIMS), new_folder(spark, "trees")
+    PT.update_trees(leaves(spark, sf), root, embed)
+    return shown(PT.stored_retriever(spark, root, embed)(B.questions(spark, sf)))
+
+
+def tree_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored trees after some documents changed (``CHANGED``): the run that wrote each tree, and its nodes."""
+    embed, root = E.hashing_embedder(DIMS), new_folder(spark, "trees")
+    before = leaves(spark, sf)
+    PT.update_trees(before, root, embed)
+    changed = F.when(F.expr(CHANGED), F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    current = PT.update_trees(before.withColumn("text", changed), root, embed)
+    node = F.concat("id", F.lit("="), F.md5("text"))
+    digests = PT.stored_nodes(spark, root).groupBy("document_id").agg(
+        F.count("*").alias("nodes"), F.md5(F.array_join(F.array_sort(F.collect_list(node)), ",")).alias("nodes_md5")
+    )
+    return current.select("document_id", "run").join(digests, "document_id")
+
+
+def tree_accessors(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves, roots, and the children of roots, of trees of one level."""
+    parents, children = TR.build_level(_assigned(spark, sf), 1)
+    nodes = cut_lineage(parents.unionByName(children.select(*parents.columns)))
+    place = [F.lit(None).cast("string").alias("of"), F.lit(None).cast("int").alias("child_no")]
+    below = TR.children_of(nodes, TR.roots_of(nodes)).select(F.lit("child").alias("part"), "id", "of", "child_no")
+    return (
+        TR.leaves_of(nodes).select(F.lit("leaf").alias("part"), "id", *place)
+        .unionByName(TR.roots_of(nodes).select(F.lit("root").alias("part"), "id", *place))
+        .unionByName(below)
+    )
+
+
+def tree_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of one level through the tree table and their payload, and back."""
+    parents, children = TR.build_level(_assigned(spark, sf), 1)
+    folder = new_folder(spark, "tree-table")
+    tables.write_tree(parents.unionByName(children.select(*parents.columns)), folder)
+    stored = TR.as_node_payload(tables.read_tree(spark, folder))
+    back = TR.from_node_payload(stored)
+    return back.select(
+        "id", "level", "node_type", "section", F.array_join("heading_path", " > ").alias("path"), "provider", "source_url",
+        F.coalesce("parent_id", F.lit("-")).alias("parent_id"), F.size("children").alias("n_children"), F.md5("text").alias("text_md5"),
+    )
 
 
 QUERIES = {
@@ -133,6 +180,9 @@ QUERIES = {
     "tree_build": tree_build,
     "tree_sizes": tree_sizes,
     "tree_search": tree_search,
+    "tree_incremental": tree_incremental,
+    "tree_accessors": tree_accessors,
+    "tree_payload": tree_payload,
 }
 
 CENTERS = """
@@ -155,7 +205,27 @@ ORACLE = {
     "kmeans_corpus": f"""WITH RECURSIVE corpus AS (SELECT 0 AS g, vec_id AS key, CAST(vec_id AS VARCHAR) AS name, embedding AS vector FROM embeddings),
 {KQ.clusters("c", "corpus", "10")} SELECT key AS vec_id, cluster FROM c_clusters""",
     "tree_build": f"""{TREE} SELECT document_id, level, id, parent_id, array_to_string(children, '|') AS children, md5(text) AS text_md5 FROM t_nodes""",
-    "tree_sizes": f"""{TREE} SELECT document_id, count(*) AS nodes, count_if(level = 0) AS leaves, count_if(level > 0) AS summaries FROM t_nodes GROUP BY 1""",
+    "tree_incremental": f"""WITH RECURSIVE {B.DOCS}, {B.LINES}, {CHILDREN}, {LEAVES},
+altered AS (SELECT document_id, ord, id, section, title, provider, CASE WHEN {CHANGED} THEN text || ' changed' ELSE text END AS text, content_type FROM leaves),
+{KQ.tree("t", "altered", DIMS)}
+SELECT document_id, CASE WHEN {CHANGED} THEN 1 ELSE 0 END AS run, count(*) AS nodes, md5(string_agg(id || '=' || md5(text), ',' ORDER BY id)) AS nodes_md5
+FROM t_nodes GROUP BY document_id""",
+    "tree_search": f"""{TREE},
+questions AS (SELECT item_id AS id, text FROM benchmark), {KQ.embedded("q", "questions", "text", DIMS)},
+scored AS (
+  SELECT q.id AS query_id, n.id, n.parent_id, n.content_type, n.document_id,
+         coalesce(list_cosine_similarity(CAST(n.vector AS DOUBLE[]), CAST(q.vector AS DOUBLE[])), 0) AS score FROM q, t_nodes n
+),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, content_type, document_id, id) AS r FROM scored QUALIFY r <= 15),
+kept AS (SELECT * FROM hits h ANTI JOIN hits p ON p.query_id = h.query_id AND p.id = h.parent_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank, id, round(score, 6) AS score FROM kept QUALIFY rank <= 5""",
+    "tree_accessors": f"""{GROUPED}
+SELECT 'leaf' AS part, id, NULL AS of, NULL AS child_no FROM parented UNION ALL SELECT DISTINCT 'root', parent, NULL, NULL FROM parented
+UNION ALL SELECT 'child', id, parent, row_number() OVER (PARTITION BY parent ORDER BY chunk_no) - 1 FROM parented""",
+    "tree_payload": f"""{GROUPED}
+SELECT id, 0 AS level, 'leaf' AS node_type, section, path, provider, url AS source_url, parent AS parent_id, 0 AS n_children, md5(text) AS text_md5 FROM parented
+UNION ALL SELECT parent, 1, 'summary', 'Summary', any_value(title) || ' > Summary', any_value(provider), any_value(url), '-', count(*), md5({SUMMARY}) FROM parented GROUP BY parent""",
+    "tree_sizes": f"""{TREE} SELECT document_id, count(*) AS nodes, CAST(count_if(level = 0) AS BIGINT) AS leaves, CAST(count_if(level > 0) AS BIGINT) AS summaries FROM t_nodes GROUP BY 1""",
     "vector_cosine": """SELECT l.vec_id, round(list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS cosine
 FROM embeddings l JOIN embeddings r ON r.vec_id = l.vec_id + 1""",
     "kmeans_update": f"WITH {CENTERS} SELECT cluster, pos, round(v, 6) AS v FROM centers",

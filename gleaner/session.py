@@ -53,6 +53,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` written to the checkpoint folder and read again: computed once, where a checkpoint computes it twice,
+    but without its partitioning, and with every column nullable."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def fill_cores(df: DataFrame) -> DataFrame:
     """Spread an input of fewer splits than cores, e.g. one small file.
 
