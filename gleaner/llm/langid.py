@@ -7,9 +7,10 @@ languages. A text is cut into windows from end to end, the windows are applied
 in batches, and their log probabilities are averaged by their length.
 
 Training takes at most ``FIT_DOCS`` labelled documents, at most ``FIT_PER_LANG`` of each
-of the ``FIT_LANGS`` most frequent languages, drawn by the hash of their id from
-all of them, and ``FIT_WINDOWS`` windows of each from places spread over the
-text; it runs on the driver. The
+of the ``FIT_LANGS`` most frequent languages, drawn by the hash of id and text from
+all of them; rows with equal id, text and label count as one. Of each, ``FIT_WINDOWS`` windows
+from places spread over the text are cut on the executors and gathered, some 16 MB
+at most. The network is fitted on the driver. The
 prediction sees the text alone.
 
 Null texts, empty ones and those without a letter are ``und`` with score 0; so is
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,22 +101,30 @@ def _encoded(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
 
 
-def train(texts: list[str], langs: list[str]) -> Network | None:
-    """Fit the network on windows of labelled texts, with Adam."""
+def spread(text: str | None) -> list[bytes]:
+    """``FIT_WINDOWS`` windows from one end of a text to the other; none without a letter."""
+    data = _encoded(text)
+    places = np.linspace(0, max(0, len(data) - WINDOW), FIT_WINDOWS).astype(int)
+    return [data[at : at + WINDOW].tobytes() for at in places] if has_letter(text) else []
+
+
+def train(texts: list[str | list[bytes]], langs: list[str]) -> Network | None:
+    """Fit the network on windows of labelled texts, or on such windows (``spread``), with Adam."""
     labels = sorted(set(langs))
-    rows = [(_encoded(t), labels.index(lang)) for t, lang in zip(texts, langs, strict=True) if has_letter(t)]
+    rows = [(t if isinstance(t, list) else spread(t), labels.index(lang)) for t, lang in zip(texts, langs, strict=True)]
+    rows = [r for r in rows if r[0]]
     if not rows:
         return None
     rng = np.random.default_rng(SEED)
-    counts = sum(np.bincount(b, minlength=256) for b, _ in rows)
+    counts = sum(np.bincount(np.frombuffer(w, np.uint8), minlength=256) for parts, _ in rows for w in parts)
     symbol = np.full(256, SYMBOLS - 1, dtype=np.uint8)
     symbol[np.argsort(-counts, kind="stable")[: SYMBOLS - 2]] = np.arange(1, SYMBOLS - 1)
     windows, target = [], []
-    for data, label in rows:
-        for at in np.linspace(0, max(0, len(data) - WINDOW), FIT_WINDOWS).astype(int):
+    for parts, label in rows:
+        for part in parts:
             # Some windows are short, as short texts are.
             size = WINDOW if rng.random() < 0.6 else int(rng.integers(12, WINDOW))
-            windows.append(cut(symbol[data[at : at + size]])[:1])
+            windows.append(cut(symbol[np.frombuffer(part, np.uint8)[:size]])[:1])
             target.append(label)
     x, y = np.concatenate(windows), np.array(target)
     share = 1 / np.maximum(np.bincount(y, minlength=len(labels)), 1)
@@ -200,22 +210,28 @@ def remainder(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str]]:
-    """The bounded sample that training takes, drawn by hash from ``docs``."""
-    narrow = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"))
-    # Of a frequent language only some ids are looked at, by their hash: four
+def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[list[bytes]], list[str]]:
+    """Windows and languages of the bounded sample that training takes, drawn by hash from ``docs``."""
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text"))
+    narrow = rows.select("lang", "h").distinct()
+    # Of a frequent language only some documents are looked at, by their hash: four
     # times as many as are wanted, whatever the size of the table.
     counts = narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGS)
-    place = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    place = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = narrow.join(F.broadcast(counts), "lang").filter(place * F.col("count") <= 4 * FIT_PER_LANG)
-    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    some = some.select("key", "lang").distinct().withColumn("n", F.row_number().over(drawn))
-    some = some.filter(F.col("n") <= FIT_PER_LANG).orderBy("n", "lang").limit(FIT_DOCS)
-    some = some.select("key").distinct()  # at most FIT_DOCS ids
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = rows.filter("lang is not null and text is not null").join(F.broadcast(some), "key")
-    found = rows.orderBy(F.xxhash64("key", "text")).limit(FIT_DOCS).select("text", "lang").collect()  # at most FIT_DOCS rows
-    return [r["text"] for r in found], [r["lang"] for r in found]
+    some = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    some = some.filter(F.col("n") <= FIT_PER_LANG).orderBy("n", "lang").limit(FIT_DOCS).select("lang", "h")
+    # FIT_DOCS rows at most, one for all equal ones; then windows instead of texts.
+    one = rows.join(F.broadcast(some), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+
+    def windows(texts: pd.Series) -> pd.Series:
+        return texts.map(spread)
+
+    windows.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    cut_up = F.pandas_udf(windows, "array<binary>")
+    found = one.select("lang", "h", cut_up("text").alias("windows")).orderBy("h", "lang").collect()
+    return [[bytes(w) for w in r["windows"]] for r in found], [r["lang"] for r in found]
 
 
 def predict(docs: DataFrame, net: Network | None, text: str = "text", lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import prefix_trie, quality, queries, whitening
+from gleaner.llm import langid, prefix_trie, quality, queries, whitening
 from gleaner.llm.oracle import ORACLE
 
 # --- op11 --------------------------------------------------------------------
@@ -261,3 +261,41 @@ def test_two_fattest_numbers(spark):
 
 def test_queries_are_registered():
     assert {"op11_quality", "op12_whitening", "op13_prefix_trie"} <= set(queries.QUERIES)
+
+
+# --- op2: the sample ---------------------------------------------------------
+
+
+def test_language_sample_keeps_a_language_of_one_repeated_id(spark):
+    """Rows of one id, copies of one row and rows without an id: no language is lost or crowded out."""
+    rows = [(7, f"the english text number {i} of one id", "en") for i in range(5000)]
+    rows += [(8, "always the same german text", "de")] * 5000
+    rows += [(i, f"un texte en français {i}", "fr") for i in range(100, 400)]
+    rows += [(None, "sin número", "es"), (9, "12345", "en"), (10, None, "xx"), (11, "no label", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    windows, langs = langid.sample(docs)
+    counts = {lang: langs.count(lang) for lang in set(langs)}
+    assert counts == {"en": langid.FIT_PER_LANG, "de": 1, "fr": 300, "es": 1}
+    assert all(len(w) <= langid.WINDOW for parts in windows for w in parts)
+    assert (windows, langs) == langid.sample(docs.repartition(3))
+
+
+def test_language_forward_pass_equals_a_slow_one():
+    """Convolution, pooling, softmax and the mean over windows, entry by entry."""
+    net = langid.train(["one small text with letters", "ein anderer kleiner text"] * 4, ["en", "de"] * 4)
+    for text in ["a", "short text", "ß" * 400, "many words here " * 90]:
+        symbols = net.symbol[np.frombuffer(text.lower().encode(), np.uint8)]
+        total = np.zeros(2)
+        for at in range(0, len(symbols), langid.WINDOW):
+            window = np.zeros(langid.WINDOW, dtype=int)
+            part = symbols[at : at + langid.WINDOW]
+            window[: len(part)] = part
+            hidden = []
+            for own, bias in zip(net.filters, net.bias, strict=True):
+                values = [sum(own[j][window[i + j]] for j in range(len(own))) for i in range(langid.WINDOW - len(own) + 1)]
+                hidden.append(max(max(values) + bias, 0))
+            z = np.array(hidden) @ net.weights + net.out_bias
+            total += (z - z.max() - np.log(np.exp(z - z.max()).sum())) * len(part)
+        p = np.exp(total / len(symbols))
+        langs, scores = langid.classify(net, [text])
+        assert langs[0] == net.labels[int(p.argmax())] and np.isclose(scores[0], p.max() / p.sum(), atol=1e-4)
