@@ -301,6 +301,54 @@ def test_suffix_dedup_bytes(spark, hot_segments):
         assert sum(s.end - s.start for s in r.removed) == r.n_removed
 
 
+@pytest.mark.parametrize("known", [suffix_dedup.KNOWN_SEGMENTS, 5, 0])
+def test_what_repeats_in_one_slice_is_known_to_the_next(monkeypatch, known):
+    rng = np.random.default_rng(9)
+    anchor = rng.integers(0, 3, 400).astype(np.uint64)
+    segment = rng.integers(0, 4, 400).astype(np.uint64)
+    d, g, lo = (rng.integers(0, n, 400) for n in (20, 2, 50))
+    seen = suffix_dedup.Known(known)
+    for a in range(0, 400, 40):
+        cut = slice(a, a + 40)
+        got = seen.earlier(anchor[cut], segment[cut], d[cut], g[cut], lo[cut])
+        before = [*zip(anchor[:a], segment[:a], d[:a], g[:a], lo[:a], strict=True)]
+        for i, flag in enumerate(got.tolist(), a):
+            smaller = any(x[:2] == (anchor[i], segment[i]) and x[2:] < (d[i], g[i], lo[i]) for x in before)
+            assert smaller or not flag
+            assert flag or not smaller or known != suffix_dedup.KNOWN_SEGMENTS
+        seen.add(anchor[cut], segment[cut], d[cut], g[cut], lo[cut])
+
+
+def hot_rows(n):
+    rng = np.random.default_rng(11)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)])
+    passage = " ".join(rng.choice(words, 60))
+    return [
+        (i, " ".join(rng.choice(words, 150)) + ("" if i % 3 else "\n" + "-" * 500 + "\n" + passage) + " ".join(rng.choice(words, 60)))
+        for i in rng.permutation(n).tolist()
+    ]
+
+
+def test_a_hot_run_of_bytes_is_in_no_bucket(spark):
+    rows = hot_rows(3000)
+    frame = spark.createDataFrame(rows, "d long, text string").repartition(4)
+    hashes = suffix_dedup._hash_rows(frame.select("d", F.xxhash64("text").alias("g"), "text"), 40)
+    size = sum((F.octet_length(c) for c in suffix_dedup._BLOBS), F.lit(0))
+    by_bucket = sorted(r.n for r in hashes.groupBy("bucket").agg(F.sum(size).alias("n")).collect())
+    assert len(by_bucket) == 40
+    assert by_bucket[-1] < 2 * by_bucket[20]
+
+
+@pytest.mark.parametrize("slice_bytes", [2 << 20, 3000])
+def test_hot_runs_and_passages(spark, monkeypatch, slice_bytes):
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", slice_bytes)
+    rows = hot_rows(150)
+    known = brute_dedup(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for r in suffix_dedup.digest(frame).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == known[r.doc_id, dict(rows)[r.doc_id]]
+
+
 def test_two_stage_order_is_the_suffix_order():
     rng = np.random.default_rng(6)
     for alphabet in (b"ab", b"abcdefgh"):
