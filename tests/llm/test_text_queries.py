@@ -298,3 +298,58 @@ def test_decontamination_in_blocks(spark, fixture_dir):
     assert best[305] == 13
     assert decontam.clean(docs, benchmark).columns == docs.columns
     assert {305, 306} & {r.doc_id for r in decontam.clean(docs, benchmark).collect()} == set()
+
+
+def brute_matches(text, items, window=10):
+    """The longest match from each hit place on, read from left to right, for each length of windows."""
+    own, texts, out = words(text), [(n, words(t)) for n, t in sorted(items)], []
+    for n in sorted({min(window, len(t)) for _, t in texts if t}):
+        of_n = [(name, t) for name, t in texts if min(window, len(t)) == n]
+
+        def longest(p):
+            best = (0, None, None)
+            for name, t in of_n:
+                for j in range(len(t) - n + 1):
+                    m = 0
+                    while p + m < len(own) and j + m < len(t) and own[p + m] == t[j + m]:
+                        m += 1
+                    if m >= n and m > best[0]:
+                        best = (m, name, j)
+            return best
+
+        p = 0
+        while p + n <= len(own):
+            m, name, j = longest(p)
+            if m:
+                out.append((name, p, j, m))
+                p += m - n
+            p += 1
+    return sorted(out)
+
+
+def test_matches_are_the_longest_of_one_item(spark):
+    rng = np.random.default_rng(12)
+    line = [f"w{i}" for i in range(14)]
+    items = [(str(i), " ".join([*line, *(f"x{v}" for v in rng.integers(0, 3, 30))])) for i in range(6)]
+    items += [("a", "na " * 25), ("b", "na na"), ("b", " ".join(line[2:]))]
+    texts = [" ".join([*line[rng.integers(0, 3) :], *t.split()[14 : 14 + rng.integers(0, 30)], *line]) for _, t in items]
+    texts += ["na " * 70, "", None, "na na", items[0][1] + " " + items[1][1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    for r in decontam.find(docs, benchmark).collect():
+        assert sorted(map(tuple, r.matches)) == brute_matches(r.text, items)
+        brute = next(brute_hits([(r.doc_id, r.text)], items))
+        assert len(r.items) == brute[3] and len(set(r.items)) == brute[3]
+    assert rows_of(decontam.digest(docs, benchmark)) == Counter(brute_hits(enumerate(texts), items))
+
+
+def test_a_line_of_all_items_makes_no_pairs():
+    line = " ".join(f"w{i}" for i in range(12))
+    items = [(str(i), f"{line} own{i} words{i}") for i in range(2000)]
+    vocabulary, names, begin, owner, windows = decontam.index_items(items, 10)
+    one = [vocabulary[w] for w in line.encode().split()] * 300 + [0]
+    (place, item_place, length), found = decontam.shard_matches(
+        np.array(one * 20, dtype=np.uint32), np.arange(20) * len(one), windows
+    )
+    assert len(place) == 20 * 300 and set(length.tolist()) == {12} and set(item_place.tolist()) == {0}
+    assert [len(x) for x in found] == [2000] * 20
