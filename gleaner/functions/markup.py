@@ -43,18 +43,21 @@ class Element:
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
 
+    def nodes(self):
+        """All below, in page order; pages nest to any depth, so without recursion.
+        Who takes an element may change its children before going on."""
+        open_ = self.children[::-1]
+        while open_:
+            node = open_.pop()
+            yield node
+            if isinstance(node, Element):
+                open_.extend(reversed(node.children))
+
     def elements(self):
-        for child in self.children:
-            if isinstance(child, Element):
-                yield child
-                yield from child.elements()
+        return (n for n in self.nodes() if isinstance(n, Element))
 
     def strings(self):
-        for child in self.children:
-            if isinstance(child, Element):
-                yield from child.strings()
-            else:
-                yield child
+        return (n for n in self.nodes() if isinstance(n, str))
 
     def text(self) -> str:
         return tidy(" ".join(s.strip() for s in self.strings() if s.strip()))
@@ -99,10 +102,12 @@ class _Reader(HTMLParser):
 
 
 def _prune(element: Element, drop) -> None:
-    element.children = [c for c in element.children if not (isinstance(c, Element) and drop(c))]
-    for child in element.children:
-        if isinstance(child, Element):
-            _prune(child, drop)
+    def kept(e: Element) -> list:
+        return [c for c in e.children if not (isinstance(c, Element) and drop(c))]
+
+    element.children = kept(element)
+    for e in element.elements():
+        e.children = kept(e)
 
 
 def _is_noise(e: Element) -> bool:
@@ -120,8 +125,8 @@ def _announces_contents(child) -> bool:
     return any(isinstance(c, str) and JUMP_TO.search(c) for c in child.children)
 
 
-def _drop_contents(parent: Element) -> None:
-    """Remove what says "jump to" and the list of anchors that follows it."""
+def _without_contents(parent: Element) -> list:
+    """The children, but for what says "jump to" and the list of anchors that follows it."""
     kept, after = [], False
     for child in parent.children:
         if isinstance(child, Element):
@@ -133,27 +138,26 @@ def _drop_contents(parent: Element) -> None:
             after = True
         else:
             kept.append(child)
-    parent.children = kept
-    for child in kept:
-        if isinstance(child, Element):
-            _drop_contents(child)
+    return kept
 
 
-def _clean_strings(element: Element) -> None:
-    element.children = [
-        NBSP.sub(" ", SHORTCODE.sub("", c)) if isinstance(c, str) else c for c in element.children
-    ]
-    for child in element.children:
-        if isinstance(child, Element):
-            _clean_strings(child)
+def _drop_contents(body: Element) -> None:
+    body.children = _without_contents(body)
+    for e in body.elements():
+        e.children = _without_contents(e)
 
 
-def _is_empty(e: Element) -> bool:
-    return (
-        e.tag in MAY_BE_EMPTY
-        and not any(s.strip() for s in e.strings())
-        and not any(d.tag in KEEPS_EMPTY for d in e.elements())
-    )
+def _clean_strings(body: Element) -> None:
+    for e in [body, *body.elements()]:
+        e.children = [NBSP.sub(" ", SHORTCODE.sub("", c)) if isinstance(c, str) else c for c in e.children]
+
+
+def _drop_empty(body: Element) -> None:
+    full: set[int] = set()  # elements with a text, list, table or image in them
+    for e in reversed([*body.elements()]):
+        if any(c.strip() if isinstance(c, str) else c.tag in KEEPS_EMPTY or id(c) in full for c in e.children):
+            full.add(id(e))
+    _prune(body, lambda e: e.tag in MAY_BE_EMPTY and id(e) not in full)
 
 
 def clean_tree(html: str) -> Element:
@@ -164,25 +168,35 @@ def clean_tree(html: str) -> Element:
     _prune(body, _is_noise)
     _drop_contents(body)
     _clean_strings(body)
-    _prune(body, _is_empty)
+    _drop_empty(body)
     body.children = [c for c in body.children if isinstance(c, Element) or c.strip()]
     return body
 
 
-def _markup(node) -> str:
-    if isinstance(node, str):
-        return escape(node, quote=False)
-    attrs = "".join(f' {k}="{escape(v)}"' for k, v in node.attrs.items())
-    if node.tag in VOID:
-        return f"<{node.tag}{attrs}/>"
-    return f"<{node.tag}{attrs}>{''.join(map(_markup, node.children))}</{node.tag}>"
+def _markup(body: Element) -> str:
+    out: list[str] = []
+    todo = [(c, False) for c in reversed(body.children)]
+    while todo:
+        node, written = todo.pop()
+        if written:
+            out.append(node)
+        elif isinstance(node, str):
+            out.append(escape(node, quote=False))
+        else:
+            attrs = "".join(f' {k}="{escape(v)}"' for k, v in node.attrs.items())
+            void = node.tag in VOID
+            out.append(f"<{node.tag}{attrs}/>" if void else f"<{node.tag}{attrs}>")
+            if not void:
+                todo.append((f"</{node.tag}>", True))
+                todo.extend((c, False) for c in reversed(node.children))
+    return "".join(out)
 
 
 def clean_page(html: str | None) -> str:
     """The page body without noise; blank input gives an empty string."""
     if not html or not html.strip():
         return ""
-    return "".join(map(_markup, clean_tree(html).children))
+    return _markup(clean_tree(html))
 
 
 def _list_text(e: Element) -> str:
@@ -200,20 +214,22 @@ def _table_text(e: Element) -> str:
     return "\n".join(r for r in rows if r)
 
 
-def _blocks(node):
-    if isinstance(node, str):
-        yield "paragraph", None, tidy(node)
-    elif node.tag in HEADINGS:
-        yield "heading", HEADINGS[node.tag], node.text()
-    elif node.tag in {"ul", "ol"}:
-        yield "list", None, _list_text(node)
-    elif node.tag == "table":
-        yield "table", None, _table_text(node)
-    elif node.tag in CONTAINERS:
-        for child in node.children:
-            yield from _blocks(child)
-    else:
-        yield "paragraph", None, node.text()
+def _blocks(body: Element):
+    todo = body.children[::-1]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            yield "paragraph", None, tidy(node)
+        elif node.tag in HEADINGS:
+            yield "heading", HEADINGS[node.tag], node.text()
+        elif node.tag in {"ul", "ol"}:
+            yield "list", None, _list_text(node)
+        elif node.tag == "table":
+            yield "table", None, _table_text(node)
+        elif node.tag in CONTAINERS:
+            todo.extend(reversed(node.children))
+        else:
+            yield "paragraph", None, node.text()
 
 
 def page_blocks(html: str | None) -> list[tuple[str, int | None, str]]:
@@ -223,5 +239,4 @@ def page_blocks(html: str | None) -> list[tuple[str, int | None, str]]:
     if not ANY_TAG.search(html):
         plain = NBSP.sub(" ", SHORTCODE.sub("", html))
         return [("paragraph", None, tidy(p)) for p in re.split(r"\n\s*\n", plain) if p.strip()]
-    found = [b for child in clean_tree(html).children for b in _blocks(child)]
-    return [b for b in found if b[2]]
+    return [b for b in _blocks(clean_tree(html)) if b[2]]

@@ -93,3 +93,13 @@ def test_normalize_posts(spark):
     ]
     assert docs["6"].sections == []
     assert block_rows(posts.select("id", "html")).count() == 6
+
+
+def test_pages_of_any_depth():
+    for tag in ("div", "span", "ul><li"):
+        last = tag.rpartition("<")[2]
+        html = f"<{tag}>" * 20_000 + "deep" + f"</{last}>" * 20_000 + f"<{tag}>" * 20_000
+        assert "deep" in clean_page(html)
+        assert [b[2].removeprefix("- ") for b in page_blocks(html)] == ["deep"]
+    assert clean_page("<div>" * 20_000) == ""
+    assert page_blocks("<div>" * 20_000 + "<h2>A</h2>b") == [("heading", 2, "A"), ("paragraph", None, "b")]
