@@ -1,8 +1,10 @@
 """WARC archives and the corpus pipeline."""
 
 import hashlib
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,5 +122,7 @@ def test_pipeline_run_and_empty_tables(spark, fixture_dir, empty_dir):
     out = corpus_pipeline.run(spark, fixture_dir)
     assert out.agg(F.max("length")).first()[0] <= 2048
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+    for r in out.collect():
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
     assert corpus_pipeline.ORACLE_SQL is None
