@@ -7,10 +7,12 @@ under every constraint, it takes the one with the smallest weighted norm of
 what stays free ("norm"), or with the largest weighted dot product of the
 demand and what is free ("dot"). Else it opens a new one.
 
-Texts are tokenized and packed where they are read: a task packs its pieces in
-blocks of ``BLOCK`` and nothing is shuffled. Blocks are packed apart, so each may
-leave sequences partly empty that another could have filled. Sequence ids are the
-partition and a count, so a task that runs again gives the same ids.
+Texts are tokenized and packed where they are read, in blocks of ``BLOCK`` pieces.
+Sequences filled to ``FULL`` of their tokens stay as they are. The pieces of all others
+are packed anew in further passes, dealt by hash into groups of ``GROUP_TOKENS`` tokens,
+until one group holds them all or a pass saves no sequence; only these pieces are
+shuffled. Every pass is written to the shared folder, so a lost executor repeats no
+earlier pass and ids never change. Sequence ids are the pass, the task or group and a count.
 
 Null and empty texts are documents of the end token alone. Documents of more
 than ``capacity`` tokens are cut into full pieces and a rest. Rows with equal or
@@ -20,6 +22,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
+from gleaner.llm.common import stored
 from gleaner.llm.tokens import TokenEncoder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -37,6 +41,9 @@ CAPACITY = 2048
 END = 0
 BLOCK = 16_384
 TEXTS = 256
+FULL = 0.99
+GROUP_TOKENS = 1 << 22
+PASS_BITS, TASK_BITS = 58, 36  # of a sequence id
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, documents: int | None = None,
@@ -90,11 +97,58 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
          rule: str = "norm", with_ids: bool = True) -> DataFrame:
     """One row per piece: ``key, piece, start, length, ids_crc32, sequence_id,
     offset`` and, if asked for, its token ids."""
+    limits = (capacity, documents, attention, rule)
+    part = stored(_read_and_pack(docs, key, text, tokenizer, limits, with_ids), "packed")
+    done: list[DataFrame] = []
+    for number in range(1, 1 << (63 - PASS_BITS)):
+        tokens, count = part.filter("open").agg(F.sum("length"), F.count_if(F.col("offset") == 0)).first()
+        if count <= math.ceil((tokens or 0) / capacity):  # as few as these tokens need
+            break
+        groups = math.ceil(tokens / GROUP_TOKENS)
+        again = stored(_pack_again(part.filter("open"), groups, number, limits), "packed")
+        if again.filter("offset = 0").count() >= count:
+            break
+        done.append(part.filter("NOT open"))
+        part = again
+        if groups == 1:
+            break
+    for earlier in done:
+        part = part.unionByName(earlier)
+    return part.drop("open").withColumnRenamed("key", key)
+
+
+def _place(length: np.ndarray, first: int, limits: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Sequence ids from ``first`` on, offsets, whether the sequence is open, and the next id."""
+    sequence, offset = best_fit(length, *limits)
+    used = np.bincount(sequence, weights=length)
+    return sequence + first, offset, (used < FULL * limits[0])[sequence], first + len(used)
+
+
+def _pack_again(pieces: DataFrame, groups: int, number: int, limits: tuple) -> DataFrame:
+    """Pieces packed anew, each group for itself. Groups are of pieces dealt by hash, so their
+    size follows the number of groups whatever the documents are."""
+    group = F.pmod(F.xxhash64("sequence_id", "offset"), F.lit(groups)).cast("long")
+    names = pieces.columns
+
+    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        first = (number << PASS_BITS) + (key[0].as_py() << TASK_BITS)
+        part = part.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        sequence, offset, is_open, _ = _place(part["length"].to_numpy(), first, limits)
+        for name, values in (("sequence_id", sequence), ("offset", offset), ("open", is_open)):
+            part = part.set_column(part.column_names.index(name), name, pa.array(values))
+        return part.select(names)
+
+    return pieces.withColumn("group", group).groupBy("group").applyInArrow(run, pieces.schema)
+
+
+def _read_and_pack(docs: DataFrame, key: str, text: str, tokenizer: str, limits: tuple, with_ids: bool) -> DataFrame:
+    capacity = limits[0]
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType
     schema = (
         StructType().add("key", kind).add("piece", "integer").add("start", "long").add("length", "long")
         .add("ids_crc32", "long").add("sequence_id", "long").add("offset", "long")
+        .add("open", "boolean")
     )
     if with_ids:
         schema = schema.add("ids", ArrayType(IntegerType()))
@@ -102,7 +156,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TokenEncoder(tokenizer)
-        first = TaskContext.get().partitionId() << 36
+        first = TaskContext.get().partitionId() << TASK_BITS
         keys: list[pa.Array] = []
         pieces: list[tuple] = []
         data: list[bytes] = []
@@ -110,16 +164,15 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
         def packed() -> pa.RecordBatch:
             nonlocal first
             piece, start, length, crc, row = (np.array(c, dtype=np.int64) for c in zip(*pieces, strict=True))
-            sequence, offset = best_fit(length, capacity, documents, attention, rule)
+            sequence, offset, is_open, first = _place(length, first, limits)
             columns = [
                 pa.concat_arrays(keys).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start),
-                pa.array(length), pa.array(crc), pa.array(sequence + first), pa.array(offset),
+                pa.array(length), pa.array(crc), pa.array(sequence), pa.array(offset), pa.array(is_open),
             ]
             if with_ids:
                 bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(data), dtype="<i4"))
                 columns.append(pa.ListArray.from_arrays(pa.array(bounds), values))
-            first += int(sequence.max()) + 1
             keys.clear(), pieces.clear(), data.clear()
             return pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
@@ -141,7 +194,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
         if pieces:
             yield packed()
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(run, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -192,7 +192,7 @@ def test_packing_query(spark, fixture_dir):
             assert offset == at
             at += length
         assert at <= 2048
-    assert len(sequences) <= np.ceil(sum(r.length for r in rows) / 2048) + 4  # one partition leaves one open
+    assert len(sequences) <= np.ceil(sum(r.length for r in rows) / 2048) + 1
 
 
 def test_packed_ids(spark, fixture_dir):
@@ -204,6 +204,26 @@ def test_packed_ids(spark, fixture_dir):
     assert all(len(s.ids) == sum(s.lengths) <= packing.CAPACITY for s in sequences)
 
 
+@pytest.mark.parametrize(("group_tokens", "documents", "spare"), [(1 << 22, None, 1), (20_000, None, 5), (1 << 22, 4, None)])
+def test_many_partitions_fill_their_sequences(spark, monkeypatch, group_tokens, documents, spare):
+    """Tasks that read a handful of texts each: what they leave open is packed together."""
+    monkeypatch.setattr(packing, "GROUP_TOKENS", group_tokens)
+    docs = spark.range(600).selectExpr("id doc_id", "repeat('word ', int(1 + pmod(xxhash64(id), 700))) text", "1 open", "2 key")
+    rows = packing.pack(docs.repartition(100), documents=documents).collect()
+    assert sorted((r.doc_id, r.piece) for r in rows) == [(i, 0) for i in range(600)]
+    sequences = {}
+    for r in rows:
+        assert len(r.ids) == r.length
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
+        assert sum(n for _, n in parts) <= 2048
+        assert documents is None or len(parts) <= documents
+    least = max(np.ceil(sum(r.length for r in rows) / 2048), 600 / (documents or 600))
+    assert len(sequences) <= (least + spare if spare else 1.1 * least)
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(rule):
     rng = np.random.default_rng(3)
