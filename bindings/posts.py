@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -215,6 +217,31 @@ def ingest_job(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def ingest_chunkers(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole job with every chunker: documents, chunks, parents and points are
+    read back from their folders. The counts of the job's own reports come along."""
+    folder = new_folder(spark, "ingest")
+    reports = ingest(P.union_posts(_records(spark, sf)), folder, hashing_embedder(DIMS), DIMS)
+    documents = TB.read_documents(spark, f"{folder}/documents").select("content_type", F.col("id").alias("document_id"))
+    parts = []
+    for name, report in reports.items():
+        points = K.as_chunks(K.read_points(spark, f"{folder}/collections/{name}"))
+        stages = {"chunks": TB.read_chunks(spark, folder, name), "points": points}
+        if name == "parent_child":
+            stages["parents"] = TB.read_chunks(spark, folder, name, parents=True)
+        for stage, rows in stages.items():
+            counts = rows.join(documents, ["content_type", "document_id"]).groupBy("content_type").agg(
+                F.count("*").alias("n_rows"), F.countDistinct("document_id").alias("n_documents"),
+                F.sum(F.length("text")).alias("n_characters"),
+            )
+            parts.append(counts.select(F.lit(name).alias("chunker"), F.lit(stage).alias("stage"), "*"))
+        told = report.filter("document_id IS NOT NULL").groupBy("content_type").agg(
+            F.sum("chunks").alias("n_rows"), F.count("*").alias("n_documents"), F.lit(0).cast("long").alias("n_characters")
+        )
+        parts.append(told.select(F.lit(name).alias("chunker"), F.lit("report").alias("stage"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def index_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = K.index_report(B.fixed_chunks(spark, sf))
     return rows.select(
@@ -237,6 +264,7 @@ QUERIES = {
     "upsert": upsert,
     "collection_copy": collection_copy,
     "ingest_job": ingest_job,
+    "ingest_chunkers": ingest_chunkers,
     "index_report": index_report,
 }
 
@@ -311,6 +339,16 @@ SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) ||
 SELECT id, document_id, {DIMS} AS dims, title AS path, md5(text || CASE WHEN content_type = 'article' THEN ' v2' ELSE '' END) AS text_md5 FROM fixed""",
     "ingest_job": """SELECT 'article' AS content_type, count(*) AS chunks, count(*) AS documents FROM part WHERE p_size > 5
 UNION ALL SELECT 'review', count(*), count(*) FROM customer UNION ALL SELECT 'provider', count(*), count(*) FROM supplier""",
+    "ingest_chunkers": """WITH texts AS (
+  SELECT 'article' AS content_type, p_type AS t FROM part WHERE p_size > 5
+  UNION ALL SELECT 'review', CASE WHEN c_acctbal > 0 THEN 'likes ' || c_mktsegment ELSE c_mktsegment END FROM customer
+  UNION ALL SELECT 'provider', 'page' FROM supplier
+),
+counts AS (SELECT content_type, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS c FROM texts GROUP BY 1)
+SELECT chunker, stage, content_type, n AS n_rows, n AS n_documents, CASE WHEN stage = 'report' THEN 0 ELSE c END AS n_characters
+FROM counts, (VALUES ('structure_aware'), ('fixed_size'), ('parent_child')) v(chunker),
+  (VALUES ('chunks'), ('points'), ('report'), ('parents')) s(stage)
+WHERE stage <> 'parents' OR chunker = 'parent_child'""",
     "index_report": f"""WITH {B.DOCS}, {B.FIXED}
 SELECT content_type, document_id, count(*) AS chunks FROM fixed GROUP BY ALL UNION ALL SELECT 'all', 'all', count(*) FROM fixed""",
 }

@@ -126,6 +126,24 @@ def rewrite(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("query_id", "kind", "rewritten")
 
 
+def model_rewrite(spark: SparkSession, sf: str) -> DataFrame:
+    """Rewrites proposed by a model: usable, with a provider nobody asked about,
+    without the one asked about, empty, and no JSON at all."""
+    name, n = F.initcap("p_name"), F.col("p_partkey") % 5
+    proposals = B.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("query_id"),
+        F.when(n == 0, F.concat(F.lit('{"query": "'), name, F.lit('  pricing ?"}')))
+        .when(n == 1, F.lit('{"query": "blue anvil"}'))
+        .when(n == 2, F.lit("oops"))
+        .when(n == 3, F.lit('{"rewritten": "plans and rates"}'))
+        .otherwise(F.lit('{"query": " ? "}')).alias("answer"),
+    )
+    kind = F.when(F.col("query_id") % 2 == 0, "pricing").otherwise("factual")
+    asked = part_questions(spark, sf).drop("answer").withColumn("kind", kind)
+    rows = Q.model_rewrite(asked.join(proposals, "query_id"), part_catalog(spark, sf))
+    return rows.select("query_id", "rewritten")
+
+
 def preprocess(spark: SparkSession, sf: str) -> DataFrame:
     """Extraction, rewrite, decomposition, expansion and inferred filters."""
     asked = part_questions(spark, sf)
@@ -250,6 +268,7 @@ QUERIES = {
     "topic_grounding": topic_grounding,
     "extraction_intake": extraction_intake,
     "rewrite": rewrite,
+    "model_rewrite": model_rewrite,
     "preprocess": preprocess,
     "filter_merge_infer": filter_merge_infer,
     "filter_infer_catalog": filter_infer_catalog,
@@ -439,6 +458,20 @@ tidy AS (
          {canonical_sql(TIDY)} AS t FROM asked
 )
 SELECT query_id, kind, {worded_sql("t", "kind")} AS rewritten FROM tidy""",
+    "model_rewrite": f"""{HEAD},
+offered AS (
+  SELECT query_id, query, CASE WHEN query_id % 2 = 0 THEN 'pricing' ELSE 'factual' END AS kind,
+    CASE query_id % 5 WHEN 0 THEN spaced || ' pricing' WHEN 1 THEN 'blue anvil' WHEN 3 THEN 'plans and rates' ELSE '' END AS proposal
+  FROM asked JOIN (SELECT p_partkey AS query_id, spaced FROM named) USING (query_id)
+),
+{mention_sql("offered", "query", "o_said", "said")},
+{mention_sql("o_said", "proposal", "o_produced", "produced")},
+o_named AS (SELECT *, {canonical_sql("proposal")} AS t, {canonical_sql(TIDY)} AS tidied FROM o_produced),
+{mention_sql("o_named", "t", "o_kept", "kept")},
+offline AS (SELECT *, {worded_sql("tidied", "kind")} AS plain, list_filter(said, lambda s: NOT list_contains(kept, s)) AS missing FROM o_kept)
+SELECT query_id, CASE WHEN t <> '' AND len(list_filter(produced, lambda p: NOT list_contains(said, p))) = 0
+  THEN t || CASE WHEN len(missing) > 0 THEN ' ' || array_to_string(missing, ' ') ELSE '' END ELSE plain END AS rewritten
+FROM offline""",
     "preprocess": f"""{HEAD}, {EXTRACTED},
 tidy AS (SELECT *, {canonical_sql(TIDY)} AS t FROM extracted),
 rewritten AS (SELECT *, {worded_sql("t", "kind")} AS r FROM tidy),

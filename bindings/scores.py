@@ -17,6 +17,7 @@ from gleaner.operators import evaluation as EV
 from gleaner.plans import comparison as CO
 from gleaner.operators.embedding import hashing_embedder
 from gleaner.plans.retrieval import chunker_retrievers, strategy_hits
+from gleaner.session import new_folder
 
 
 def relevant(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,6 +81,16 @@ def eval_compare(spark: SparkSession, sf: str) -> DataFrame:
     return shown(report, "variant", "case_count")
 
 
+def report_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The comparison's report written as JSON, read back and cut to the printed table."""
+    report, _ = CO.compare(_results(spark, sf))
+    folder = new_folder(spark, "reports")
+    CO.write_report(report, folder)
+    back = spark.read.schema(CO.with_run_stamp(report).schema).json(folder)
+    stamped = back.filter(F.to_timestamp("ran_at").isNotNull())
+    return shown(EV.comparison_table(stamped), "variant")
+
+
 def eval_by_category(spark: SparkSession, sf: str) -> DataFrame:
     """The four strategies with answers, by category."""
     _, by_category = CO.compare(_results(spark, sf))
@@ -188,6 +199,7 @@ QUERIES = {
     "eval_means": eval_means,
     "eval_compare": eval_compare,
     "eval_by_category": eval_by_category,
+    "report_round_trip": report_round_trip,
     "eval_chunkers": eval_chunkers,
     "eval_failures": eval_failures,
     "eval_generation": eval_generation,
@@ -290,6 +302,9 @@ ORACLE = {
 SELECT query_id, round(precision_at_k, 6) AS precision_at_k, round(reciprocal_rank, 6) AS reciprocal_rank,
   coalesce(round(recall_at_k, 6), -1) AS recall_at_k, coalesce(round(ndcg_at_k, 6), -1) AS ndcg_at_k FROM case_scores""",
     "eval_means": f"{HEAD}, {TOP}, {scores_sql({'sparse': 'top'})} SELECT {MEANS} FROM case_scores",
+    "report_round_trip": f"""{COMPARED},
+means AS (SELECT variant, {MEANS}, round(sum((e * 0.02::DOUBLE + p * 0.4::DOUBLE + c * 1.6::DOUBLE) / 1000000), 6) AS cost_usd_total FROM final GROUP BY variant)
+SELECT variant, recall_at_k, mrr, ndcg_at_k, 0.0::DOUBLE AS ms, cost_usd_total FROM means""",
     "eval_by_category": f"""{COMPARED}
 SELECT variant, CASE WHEN n = 0 THEN 'unanswerable' ELSE 'factual' END AS category, {MEANS} FROM final GROUP BY ALL""",
     "eval_chunkers": f"""WITH RECURSIVE {B.DOCS}, {B.LINES}, {B.QUESTIONS}, {B.FIXED}, {CHILDREN}, {STRUCTURED},
