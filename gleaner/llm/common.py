@@ -5,10 +5,12 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import let
 from gleaner.session import ensure_checkpoint_dir
 
 # Characters that separate words, after A-Z became a-z: everything below 0x80
@@ -16,6 +18,8 @@ from gleaner.session import ensure_checkpoint_dir
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+SCAN_BLOCK = 256
+
 # The same for UTF-8 bytes: separators become blanks, so that bytes.split()
 # yields the words.
 _word = set(range(0x80, 0x100)) | set(range(0x30, 0x3A)) | set(range(0x61, 0x7B))
@@ -41,6 +45,26 @@ def blanks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def in_blocks(rows: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``rows`` cut into arrays of at most ``SCAN_BLOCK``. A fold copies what it has
+    gathered at every step, so folds over blocks stay linear where one over all rows doesn't."""
+
+    def cut(all_rows: Column) -> Column:
+        last = F.floor((F.greatest(F.size(all_rows), F.lit(1)) - 1) / SCAN_BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(all_rows, i * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK)))
+
+    return let(rows, lambda all_rows: let(cut(all_rows), use))
+
+
+def before_blocks(blocks: Column, first: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """The state that ``fold`` reaches before each block, and after the last one."""
+
+    def step(states: Column, block: Column) -> Column:
+        return F.concat(states, F.array(F.aggregate(block, F.element_at(states, -1), fold)))
+
+    return F.aggregate(blocks, F.array(first), step)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one that ``spark.checkpoint.dir`` names."""
     ensure_checkpoint_dir(spark)

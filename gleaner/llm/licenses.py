@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import let
-from gleaner.llm.common import blanks, own_column, word_text
+from gleaner.llm.common import before_blocks, blanks, in_blocks, own_column, word_text
 
 # Phrases and labels of the contract.
 BASE = {
@@ -148,7 +148,9 @@ def _detections(words: Column, pattern: Column, label: Column, priority: Column,
     """All places of one pattern as intervals of words."""
     pieces = F.call_function("split", words, pattern, F.lit(-1))
     found = F.regexp_extract_all(words, pattern, F.lit(0))
-    empty = F.struct(F.lit(-1).alias("at"), F.array().cast(FOUND).alias("found"))
+
+    def last_word(at: Column, row: Column) -> Column:
+        return at + blanks(row["before"]) + F.coalesce(blanks(row["match"]), F.lit(0))
 
     def step(acc: Column, row: Column) -> Column:
         start = acc["at"] + blanks(row["before"])
@@ -158,8 +160,17 @@ def _detections(words: Column, pattern: Column, label: Column, priority: Column,
         moved = F.struct((start + size - 1).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
         return F.when(row["match"].isNull(), acc).otherwise(moved)
 
-    rows = F.arrays_zip(pieces.alias("before"), found.alias("match"))
-    return F.aggregate(rows, empty, step, lambda acc: acc["found"])
+    def scan(blocks: Column) -> Column:
+        def of_block(starts: Column) -> Column:
+            def run(block: Column, i: Column) -> Column:
+                empty = F.struct(F.get(starts, i).alias("at"), F.array().cast(FOUND).alias("found"))
+                return F.aggregate(block, empty, step, lambda acc: acc["found"])
+
+            return F.flatten(F.transform(blocks, run))
+
+        return let(before_blocks(blocks, F.lit(-1), last_word), of_block)
+
+    return in_blocks(F.arrays_zip(pieces.alias("before"), found.alias("match")), scan)
 
 
 def _by_family() -> dict[str, list[tuple[int, Rule]]]:
@@ -189,20 +200,36 @@ def _family(words: Column, members: list[tuple[int, Rule]]) -> Column:
 
 
 def _kept(found: Column) -> Column:
-    """Without the detections that lie within one of higher priority."""
-
-    def suppressed(d: Column) -> Column:
-        def covers(e: Column) -> Column:
-            inside = (e["start"] <= d["start"]) & (d["end"] <= e["end"])
-            above = (e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (
-                (e["end"] - e["start"] > d["end"] - d["start"])
-                | ((e["end"] - e["start"] == d["end"] - d["start"]) & (e["ord"] < d["ord"]))
-            ))
-            return inside & above
-
-        return F.exists(found, covers)
-
-    return let(found, lambda f: F.filter(f, lambda d: ~suppressed(d)))
+    """Without the detections that lie within one of higher priority. Detections are
+    compared by blocks in the order of their starts, and only with blocks that reach theirs."""
+
+    def covers(e: Column, d: Column) -> Column:
+        inside = (e["start"] <= d["start"]) & (d["end"] <= e["end"])
+        above = (e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (
+            (e["end"] - e["start"] > d["end"] - d["start"])
+            | ((e["end"] - e["start"] == d["end"] - d["start"]) & (e["ord"] < d["ord"]))
+        ))
+        return inside & above
+
+    def reach(block: Column) -> Column:
+        starts, ends = F.transform(block, lambda d: d["start"]), F.transform(block, lambda d: d["end"])
+        return F.struct(
+            F.array_min(starts).alias("first"), F.array_max(starts).alias("last"),
+            F.array_min(ends).alias("least"), F.array_max(ends).alias("most"), block.alias("block"),
+        )
+
+    def unsuppressed(reaching: Column) -> Column:
+        def of_block(own: Column) -> Column:
+            near = F.filter(reaching, lambda r: (r["first"] <= own["last"]) & (r["most"] >= own["least"]))
+            others = F.flatten(F.transform(near, lambda r: r["block"]))
+            return let(others, lambda o: F.filter(own["block"], lambda d: ~F.exists(o, lambda e: covers(e, d))))
+
+        return F.flatten(F.transform(reaching, of_block))
+
+    by_start = F.transform(
+        F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("at"), d.alias("d")))), lambda p: p["d"]
+    )
+    return in_blocks(by_start, lambda blocks: let(F.transform(blocks, reach), unsuppressed))
 
 
 def scan(docs: DataFrame, text: str = "text", into: str = "licenses") -> DataFrame:

@@ -22,12 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import let
-from gleaner.llm.common import own_column
+from gleaner.llm.common import before_blocks, in_blocks, own_column
 
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 MIN_SCORE = 0.6
 NEAR_BEFORE, NEAR_AFTER = 48, 24
 CONTEXT_BONUS = 0.3
+PART = 4096
 
 DIGITS = "[0-9]"
 LOCAL, LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -123,7 +124,9 @@ def _spans(text: Column, rule: Rule) -> Column:
     def fold(between: Column) -> Column:
         after = F.slice(between, F.lit(2), F.size(between))
         rows = F.arrays_zip(between.alias("before"), found.alias("match"), after.alias("after"))
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+
+        def width(at: Column, row: Column) -> Column:
+            return at + F.length(row["before"]) + F.coalesce(F.length(row["match"]), F.lit(0))
 
         def step(acc: Column, row: Column) -> Column:
             start = acc["at"] + F.length(row["before"])
@@ -140,7 +143,17 @@ def _spans(text: Column, rule: Rule) -> Column:
             moved = F.struct(end.alias("at"), spans.alias("spans"))
             return F.when(row["match"].isNull(), acc).otherwise(moved)
 
-        return F.aggregate(rows, empty, step, lambda acc: acc["spans"])
+        def scan(blocks: Column) -> Column:
+            def of_block(starts: Column) -> Column:
+                def run(block: Column, i: Column) -> Column:
+                    empty = F.struct(F.get(starts, i).alias("at"), F.array().cast(SPANS).alias("spans"))
+                    return F.aggregate(block, empty, step, lambda acc: acc["spans"])
+
+                return F.flatten(F.transform(blocks, run))
+
+            return let(before_blocks(blocks, F.lit(0), width), of_block)
+
+        return in_blocks(rows, scan)
 
     return F.when(text.rlike(rule.needs), let(pieces, fold)).otherwise(F.array().cast(SPANS))
 
@@ -153,22 +166,51 @@ def find(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
 def redacted(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in brackets; spans that
     overlap an earlier one extend it."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     ordered = F.array_sort(spans, lambda a, b: F.coalesce(
         F.nullif(F.signum(a["start"] - b["start"]).cast("int"), F.lit(0)), F.signum(b["end"] - a["end"]).cast("int")
     ))
 
-    def step(acc: Column, span: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, span["start"] - acc["at"])
-        mark = F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))
-        new = F.struct(span["end"].alias("at"), F.concat(acc["parts"], F.array(gap, mark)).alias("parts"))
-        longer = F.struct(F.greatest(acc["at"], span["end"]).alias("at"), acc["parts"].alias("parts"))
-        return F.when(span["start"] >= acc["at"], new).otherwise(longer)
+    def marked(parts: Column) -> Column:
+        def step(acc: Column, span: Column) -> Column:
+            gap = _between(parts, acc["at"], span["start"])
+            mark = F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))
+            new = F.struct(span["end"].alias("at"), F.concat(acc["parts"], F.array(gap, mark)).alias("parts"))
+            longer = F.struct(F.greatest(acc["at"], span["end"]).alias("at"), acc["parts"].alias("parts"))
+            return F.when(span["start"] >= acc["at"], new).otherwise(longer)
+
+        def scan(blocks: Column) -> Column:
+            def of_block(ends: Column) -> Column:
+                def run(block: Column, i: Column) -> Column:
+                    empty = F.struct(F.get(ends, i).alias("at"), F.array().cast("array<string>").alias("parts"))
+                    return F.array_join(F.aggregate(block, empty, step, lambda acc: acc["parts"]), "")
+
+                rest = _between(parts, F.element_at(ends, -1), F.length(text))
+                return F.array_join(F.concat(F.transform(blocks, run), F.array(rest)), "")
 
-    def rest(acc: Column) -> Column:
-        return F.array_join(F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), "")
+            return let(before_blocks(blocks, F.lit(0), lambda at, span: F.greatest(at, span["end"])), of_block)
 
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, empty, step, rest)).otherwise(text)
+        return in_blocks(ordered, scan)
+
+    return F.when(F.size(spans) > 0, let(_parts(text), marked)).otherwise(text)
+
+
+def _parts(text: Column) -> Column:
+    """``text`` in parts of ``PART`` characters. A substring is searched from the start of
+    its text, so the many of a long text are taken from these."""
+    last = F.floor(F.length(text) / PART).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * PART + 1, F.lit(PART)))
+
+
+def _between(parts: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` up to ``end`` of the text cut into ``parts``."""
+    first, last = F.floor(start / PART).cast("int"), F.floor(end / PART).cast("int")
+    within = F.substring(F.get(parts, first), start % PART + 1, end - start)
+    over = F.concat(
+        F.substring(F.get(parts, first), start % PART + 1, F.lit(PART)),
+        F.array_join(F.slice(parts, first + 2, last - first - 1), ""),
+        F.substring(F.get(parts, last), F.lit(1), end % PART),
+    )
+    return F.when(start >= end, F.lit("")).when(first == last, within).otherwise(over)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:

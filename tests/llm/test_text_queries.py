@@ -3,6 +3,7 @@
 import hashlib
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -90,6 +91,30 @@ def test_pii_checksums_context_and_redaction(spark):
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 
+def test_many_addresses(spark):
+    """40,000 spans and parts of many sizes in one text, marked and digested."""
+    some = ["write to a.b@mail.example.org, ", "or é 1.2.3.4 ", "x" * 5000, " call +49 30 1234567 or 4111 1111 1111 1111; "]
+    n = 10_000
+    text = "".join(some[:2] + some[3:]) * n + "".join(some) * 3
+    docs = spark.createDataFrame([(1, "".join(some)), (2, text)], "doc_id long, text string")
+    start = time.time()
+    few, many = pii.digest(docs).orderBy("doc_id").collect()
+    marked = pii.redact(docs).orderBy("doc_id").collect()
+    assert time.time() - start < 120
+    assert [getattr(many, f"n_{k}") for k in pii.BASE] == [(n + 3) * getattr(few, f"n_{k}") for k in pii.BASE]
+    found = [(k, m.start(), m.end()) for k, p in (("email", "a.b@mail.example.org"), ("ip", "1.2.3.4"))
+             for m in re.finditer(re.escape(p), text)]
+    spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in many.spans.split(","))]
+    assert [s for s in spans if s[0] in ("email", "ip")] == found
+    last, want = 0, []
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= last:
+            want += [text[last:a], f"[{kind.upper()}]"]
+        last = max(last, b)
+    assert marked[1].text == "".join(want) + text[last:]
+    assert marked[0].text.startswith("write to [EMAIL], or é [IP] xxx")
+
+
 def test_license_query(spark, fixture_dir):
     rows = QUERIES["op4_licenses"](spark, fixture_dir).collect()
     got = Counter(tuple(r)[:6] for r in rows)
@@ -167,6 +192,23 @@ def test_license_labels(spark, text, label):
     assert licenses.digest(docs).first().labels == label
 
 
+def test_many_mentions_of_licenses(spark):
+    """40,000 mentions in one text, blocks of detections and all: as in a short text."""
+    some = "under the mit license, licensed under the apache license version 2.0; "
+    n = 20_000
+    docs = spark.createDataFrame([(1, some), (2, some * n), (3, "gpl v3 " * 700)], "doc_id long, text string")
+    start = time.time()
+    few, many, one = licenses.digest(docs).orderBy("doc_id").collect()
+    assert time.time() - start < 180
+    assert (many.labels, many.base_labels, many.score) == (few.labels, few.base_labels, few.score)
+    assert many.n_base == n * few.n_base and many.n_words == n * few.n_words
+    assert (many.first_word, many.last_word) == (few.first_word, few.last_word + (n - 1) * few.n_words)
+    spans = [d.split(":") for d in few.detections.split(",")]
+    wanted = [f"{s}:{int(a) + i * few.n_words}:{int(b) + i * few.n_words}" for i in range(n) for s, a, b in spans]
+    assert many.detections.split(",") == wanted
+    assert len(one.detections.split(",")) == 700
+
+
 # --- packing -------------------------------------------------------------------
 
 
