@@ -101,12 +101,23 @@ QUERIES = {
 }
 
 
+# Character references as HTML reads them in text: the semicolon may be missing,
+# as where a title was cut short. The ampersand comes last, so none is read twice.
+REFERENCES = {"copy": "©", "middot": "·", "quot": '"', "lt": "<", "gt": ">", "amp": "&"}
+
+
 def entities(text: str) -> str:
-    for name, char in {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&amp;": "&"}.items():
-        text = f"replace({text}, '{name}', '{char}')"
+    for name, char in REFERENCES.items():
+        text = f"regexp_replace({text}, '&{name};?', '{char}', 'g')"
     return text
 
 
+def escaped(markup: str) -> str:
+    """Markup with its references read and what must be escaped written in one way."""
+    markup = f"regexp_replace({markup}, '&(lt|gt);?', chr(1) || '\\1;', 'g')"
+    return f"replace(replace({entities(markup)}, '&', '&amp;'), chr(1), '&')"
+
+
 BODY = """
 bodies AS (
   SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*?)(</body>|$)', 1),
@@ -149,8 +160,8 @@ sections AS (
 )"""
 
 ORACLE = {
-    "pages_clean": f"""WITH {BODY} SELECT page_id, md5(replace(replace(replace(
-  replace(body, '<br>', '<br/></b></p>'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"')) AS clean_md5 FROM bodies""",
+    "pages_clean": f"""WITH {BODY}
+SELECT page_id, md5({escaped("replace(body, '<br>', '<br/></b></p>')")}) AS clean_md5 FROM bodies""",
     "page_blocks": f"WITH {BLOCKS} SELECT page_id, pos, kind, level, text FROM blocks",
     "page_sections": f"WITH {SECTIONS} SELECT id, pos, heading, path, md5(text) AS text_md5 FROM sections",
     "page_documents": f"""WITH {SECTIONS} SELECT id, 'article-' || id || '-' ||
