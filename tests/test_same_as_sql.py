@@ -29,3 +29,11 @@ def test_references_cut_short(spark, tmp_path, name):
     pages = pd.DataFrame({"page_id": range(len(ends)), "url": [f"http://u/{i}" for i in range(len(ends))], "html": html})
     got, want = both(spark, tmp_path, name, pages=pages)
     assert got == want
+
+
+def test_tree_of_many_summaries(spark, tmp_path):
+    """A level of more than 100 nodes: their ids have two and three digits."""
+    lines = "\n".join(f"word{i % 7} number{i % 11} line{i}" for i in range(405))
+    documents = pd.DataFrame({"doc_id": [7, 8], "text": [lines, "short"], "lang": ["en", "fr"], "source": ["s", "s"], "n_chars": [len(lines), 5]})
+    got, want = both(spark, tmp_path, "tree_incremental", documents=documents)
+    assert got == want
