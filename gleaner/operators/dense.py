@@ -1,7 +1,7 @@
 """Exact cosine top-k for a table of query vectors.
 
 A block of queries is one matrix. Every task streams its vectors through it in
-Arrow batches and keeps k rows per query, so what leaves a task is k rows per
+Arrow batches, by the value of a filter that all of them set, and keeps k rows per query, so what leaves a task is k rows per
 query and never a pair per (query, chunk). Blocks of queries, bounded in bytes,
 are broadcast one after another; the vectors are scanned for each and never
 moved.
@@ -58,25 +58,52 @@ def _best(found: pd.DataFrame, k: int, order: list[str]) -> pd.DataFrame:
     return found[found.groupby("_q").cumcount() < k].drop(columns="_tie")
 
 
+def _split(queries: pd.DataFrame, filters: dict[str, str]) -> tuple[str | None, dict]:
+    """A column that every query filters by, and the places of the queries by its value."""
+    for column, wanted in filters.items():
+        values = queries[wanted].replace("", None)
+        if not values.isna().any():
+            return column, values.groupby(values).indices
+    return None, {}
+
+
 def _block_top_k(batches: Iterator[pd.DataFrame], queries: pd.DataFrame, vector: str, k: int,
                  order: list[str], filters: dict[str, str]) -> pd.DataFrame | None:
+    """Rows meet only queries that may want them, and are kept only if they reach the
+    k-th best score their query has so far."""
+    if not len(queries):
+        return None
     matrix = _unit(queries["vector"])
-    step = max(1, SCORE_CELLS // max(1, len(queries)))
+    column, by_value = _split(queries, filters)
+    kth = np.full(len(queries), -np.inf)
     best = None
     for batch in batches:
-        for start in range(0, len(batch), step):
-            rows = batch.iloc[start : start + step].reset_index(drop=True)
-            scores = _unit(rows[vector]) @ matrix.T
-            allowed = _allowed(rows, queries, filters)
-            ranked = np.round(scores, 9)
-            if allowed is not None:
-                ranked = np.where(allowed, ranked, -np.inf)
-            keep = ranked > -np.inf
-            if len(rows) > k:
-                keep &= ranked >= np.partition(ranked, len(rows) - k, axis=0)[len(rows) - k]
-            r, q = np.nonzero(keep)
-            found = rows.iloc[r][order].reset_index(drop=True).assign(score=scores[r, q], _q=q)
-            best = _best(found if best is None else pd.concat([best, found]), k, order)
+        parts = [(np.arange(len(batch)), np.arange(len(queries)))]
+        if column is not None:
+            places = batch.groupby(column).indices
+            parts = [(places[value], own) for value, own in by_value.items() if value in places]
+        for at, own in parts:
+            asked, asked_matrix = queries.iloc[own], matrix[own].T
+            step = max(1, SCORE_CELLS // len(own))
+            for start in range(0, len(at), step):
+                rows = batch.iloc[at[start : start + step]].reset_index(drop=True)
+                scores = _unit(rows[vector]) @ asked_matrix
+                allowed = _allowed(rows, asked, filters)
+                ranked = np.round(scores, 9)
+                if allowed is not None:
+                    ranked = np.where(allowed, ranked, -np.inf)
+                keep = (ranked > -np.inf) & (ranked >= kth[own])
+                many = np.flatnonzero(keep.sum(axis=0) > k)
+                if len(many):
+                    among = ranked[:, many]
+                    keep[:, many] &= among >= np.partition(among, len(rows) - k, axis=0)[len(rows) - k]
+                r, q = np.nonzero(keep)
+                if not len(r):
+                    continue
+                found = rows.iloc[r][order].reset_index(drop=True).assign(score=scores[r, q], _q=own[q])
+                best = _best(found if best is None else pd.concat([best, found]), k, order)
+                last = best[best.groupby("_q").cumcount() == k - 1]
+                kth[last["_q"].to_numpy()] = last["score"].round(9).to_numpy()
     if best is None or best.empty:
         return None
     return best.assign(query_id=queries["query_id"].to_numpy()[best["_q"].to_numpy()])
