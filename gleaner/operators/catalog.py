@@ -167,18 +167,15 @@ def grounded_topics(topics: DataFrame, catalog: Catalog) -> DataFrame:
     long_words = F.filter(
         F.regexp_extract_all(needle, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 3
     )
-    parts = wanted.select(
-        "topic",
-        F.explode(
-            F.concat(
-                F.array(F.struct(needle.alias("needle"), F.lit(True).alias("whole"))),
-                F.transform(
-                    F.array_distinct(long_words),
-                    lambda w: F.struct(w.alias("needle"), F.lit(False).alias("whole")),
-                ),
-            )
-        ).alias("part"),
-    ).select("topic", "part.*")
+    # A topic that occurs brings its words along, so only one without long words is
+    # looked for as a whole: the needles are a vocabulary, not all the topics' text.
+    words = F.transform(
+        F.array_distinct(long_words), lambda w: F.struct(w.alias("needle"), F.lit(False).alias("whole"))
+    )
+    whole = F.array(F.struct(needle.alias("needle"), F.lit(True).alias("whole")))
+    parts = wanted.select("topic", F.explode(F.when(F.size(words) == 0, whole).otherwise(words)).alias("part")).select(
+        "topic", "part.*"
+    )
     found = contains.present(catalog.corpus, parts).withColumn("found", F.lit(True))
     hit = F.coalesce("found", F.lit(False))
     return (
