@@ -51,7 +51,7 @@ def normal(frame: pd.DataFrame) -> list[str]:
 
 @pytest.mark.parametrize(
     "name",
-    ["pair_rerank", "report_round_trip", "rrf_hybrid", "eval_compare", "eval_failures", "evidence"],
+    ["pair_rerank", "report_round_trip", "rrf_hybrid", "eval_compare", "eval_failures", "evidence", "lexical_rerank"],
 )
 def test_postings_are_not_aggregated(spark, folder, name):
     con = duckdb.connect()
