@@ -49,7 +49,8 @@ def user_prompt(question: Column, context: Column) -> Column:
 
 def first_sentence(question: Column, context: Column) -> Column:
     """The offline generator: the first sentence of the best passage."""
-    body = F.regexp_replace(context, r"^\[1\][^\n]*\n", "")
+    best = F.get(F.split(context, r"\n\n\[2\] Title: ", 2), F.lit(0))
+    body = F.regexp_replace(best, r"^\[1\][^\n]*\n", "")
     sentence = F.regexp_extract(body, r"(?s)^(.*?[.!?])(?=\s|$)", 1)
     return F.coalesce(T.blank_to_null(sentence), F.get(F.split(body, "\n\n"), F.lit(0)))
 

@@ -130,3 +130,9 @@ def test_report_sink(spark, tmp_path):
     CO.write_report(spark.createDataFrame([("v", 1.0)], "variant string, mrr double"), str(tmp_path / "r"))
     row = spark.read.json(str(tmp_path / "r")).first()
     assert row.ran_at.endswith("+00:00") and row.mrr == 1.0
+
+
+def test_first_sentence_stays_in_the_best_passage(spark):
+    context = "[1] Title: a | Section: a | URL: u\nno end here\n\n[2] Title: b | Section: b | URL: v\nAn end. More."
+    row = spark.createDataFrame([("q", context)], "q string, c string").select(A.first_sentence(F.col("q"), F.col("c"))).first()
+    assert row[0] == "no end here"
