@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as T
 from gleaner.operators import contains
 from gleaner.schemas import CHUNK_KEY
+from gleaner.session import written
 
 
 class Catalog(NamedTuple):
@@ -163,6 +164,8 @@ def grounded_topics(topics: DataFrame, catalog: Catalog) -> DataFrame:
     wanted = topics.select("topic").distinct()
     if catalog.corpus.filter("text <> ''").isEmpty():
         return wanted.withColumn("allowed", F.lit(True))
+    # A number stands for the topic where its words meet the corpus: one text would move with each of them.
+    numbered = written(wanted.withColumn("_topic", F.monotonically_increasing_id()), "topics")
     needle = T.strip(F.lower(F.col("topic")))
     long_words = F.filter(
         F.regexp_extract_all(needle, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 3
@@ -173,17 +176,18 @@ def grounded_topics(topics: DataFrame, catalog: Catalog) -> DataFrame:
         F.array_distinct(long_words), lambda w: F.struct(w.alias("needle"), F.lit(False).alias("whole"))
     )
     whole = F.array(F.struct(needle.alias("needle"), F.lit(True).alias("whole")))
-    parts = wanted.select("topic", F.explode(F.when(F.size(words) == 0, whole).otherwise(words)).alias("part")).select(
-        "topic", "part.*"
+    parts = numbered.select("_topic", F.explode(F.when(F.size(words) == 0, whole).otherwise(words)).alias("part")).select(
+        "_topic", "part.*"
     )
     found = contains.present(catalog.corpus, parts).withColumn("found", F.lit(True))
     hit = F.coalesce("found", F.lit(False))
-    return (
+    allowed = (
         parts.join(found, "needle", "left")
-        .groupBy("topic")
+        .groupBy("_topic")
         .agg(
             F.bool_or(hit & F.col("whole")).alias("whole"),
             F.bool_and(F.when(~F.col("whole"), hit)).alias("words"),
         )
-        .select("topic", (F.col("whole") | F.coalesce("words", F.lit(False))).alias("allowed"))
+        .select("_topic", (F.col("whole") | F.coalesce("words", F.lit(False))).alias("allowed"))
     )
+    return numbered.join(allowed, "_topic").select("topic", "allowed")

@@ -2,7 +2,8 @@
 
 The needles form one multi-pattern automaton per task, so the work grows with
 the texts and the matches, not with texts times needles. Only as many needles
-as fit a bounded broadcast are searched per scan.
+as fit a bounded broadcast are searched per scan. Where only their presence counts, the
+scans of most needles are over distinct words.
 """
 
 from __future__ import annotations
@@ -16,11 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gleaner.session import written
+
 try:
     import ahocorasick
 except ImportError:  # plain substring tests give the same result, at the cost of every needle
     ahocorasick = None
 
+# What a text's words are made of, and needles that can only lie within one word.
+WORD, WORD_NEEDLE = "[a-z0-9]+", "^[a-z0-9]+\\z"
 NEEDLES_PER_SCAN = 50_000
 BYTES_PER_SCAN = 16 << 20
 
@@ -66,7 +71,22 @@ def occurrences(texts: DataFrame, needles: DataFrame, key: list[str], text: str
 
 
 def present(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle") -> DataFrame:
-    """The needles that occur in any text. Every task reports a needle once."""
+    """The needles that occur in any text.
+
+    One of letters and digits only lies within a word of a text. So these are looked for in the
+    distinct words, which one pass gathers: those that are words by a join, the others by scans. Only the rest needs the texts."""
+    wanted = needles.select(F.col(needle).alias(needle)).filter(F.col(needle) != "").distinct()
+    plain = F.col(needle).rlike(WORD_NEEDLE)
+    parts = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+    words = written(texts.select(F.explode(parts).alias(text)).distinct(), "words")
+    as_word = words.select(F.col(text).alias(needle))
+    inner = written(wanted.filter(plain).join(as_word, needle, "left_anti"), "needles")
+    found = wanted.filter(plain).join(as_word, needle, "left_semi")
+    return found.unionByName(scanned(words, inner, text, needle)).unionByName(scanned(texts, wanted.filter(~plain), text, needle))
+
+
+def scanned(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle") -> DataFrame:
+    """The needles that occur in any text, by scans of all texts. Every task reports a needle once."""
     narrow = texts.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
     context = texts.sparkSession.sparkContext
 
