@@ -21,6 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -78,12 +79,13 @@ def indexed(rows: DataFrame, name: str) -> DataFrame:
 
 
 def block_matrix(rows: DataFrame, mean: np.ndarray, n: int) -> BlockMatrix:
-    """The centred rows of ``at, x`` in distributed blocks."""
+    """The centred rows of ``at, x`` in distributed blocks, kept: every product reads them several times."""
     center = F.array(*[F.lit(float(m)) for m in mean])
     centred = F.zip_with(F.col("x"), center, lambda a, m: a.cast("double") - m)
     vectors = rows.select("at", array_to_vector(centred).alias("vector"))
     vectors = MLUtils.convertVectorColumnsFromML(vectors, "vector")
-    return IndexedRowMatrix(vectors, n, len(mean)).toBlockMatrix(BLOCK_ROWS, max(1, len(mean)))
+    blocks = IndexedRowMatrix(vectors, n, len(mean)).toBlockMatrix(BLOCK_ROWS, max(1, len(mean)))
+    return blocks.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def scatter(blocks: BlockMatrix) -> np.ndarray:

@@ -367,3 +367,15 @@ def test_two_stage_order_is_the_suffix_order():
         shared = suffix_dedup.common_prefixes(np.append(text, np.zeros(100, np.uint8)), order)
         for a, b, n in zip(keys, keys[1:], shared[1:].tolist(), strict=False):
             assert n == next((i for i in range(100) if a[i : i + 1] != b[i : i + 1]), 100)
+
+
+def test_whitening_keeps_its_blocks(spark):
+    """Transpose, products and projection read the blocks; they are made once."""
+    import numpy as np
+
+    from gleaner.llm import whitening
+
+    rows = spark.createDataFrame([(i, [i, -i, 2 * i]) for i in range(6)], "at long, x array<long>")
+    blocks = whitening.block_matrix(rows, np.array([2.5, -2.5, 5.0]), 6)
+    assert blocks._java_matrix_wrapper._java_model.blocks().getStorageLevel().useMemory()
+    assert np.allclose(whitening.scatter(blocks) / 17.5, np.outer([1, -1, 2], [1, -1, 2]))
